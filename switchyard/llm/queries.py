@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from switchyard.llm import confusables, dedup
+from switchyard.llm import confusables, dedup, overlap
 from switchyard.session import table
 
 
@@ -29,6 +29,24 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusables.look_alike_classes(_visible_records(spark, sf_dir), "id", "text")
 
 
+def _splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("network_ops_business_golden_v1", "network_ops_regression_local_fallback_v1")
+    return reduce(DataFrame.unionByName, [table(spark, sf_dir, t).select("id", "text", "source", F.lit(t).alias("split")) for t in names])
+
+
+def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trains = table(spark, sf_dir, "capability_intents").select(F.col("intent_id").alias("id"), "text")
+    return overlap.overlaps(_splits(spark, sf_dir), trains)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _overlaps(spark, sf_dir).select("eval_id", F.col("intent_id").alias("intent_id"))
+
+
+def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.overlap_report(_splits(spark, sf_dir), _overlaps(spark, sf_dir))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.copies(table(spark, sf_dir, "seed_cases_template"), "row_id", ["case_id", "text"], ["slots_json"])
 
@@ -37,5 +55,5 @@ def p5_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.collapsed(table(spark, sf_dir, "seed_cases_template"), "row_id", ["case_id", "text"], ["slots_json"])
 
 
-QUERIES = {"p1_found": p1_found, "p1_consistent": p1_consistent, "p1_classes": p1_classes, "p5_found": p5_found, "p5_collapsed": p5_collapsed}
+QUERIES = {"p1_found": p1_found, "p1_consistent": p1_consistent, "p1_classes": p1_classes, "p2_found": p2_found, "p2_report": p2_report, "p5_found": p5_found, "p5_collapsed": p5_collapsed}
 SQL: dict[str, str] = {}

@@ -3,9 +3,9 @@
 Texts are compared by letters and digits, without case and look-alike differences. A pair overlaps if at
 most a tenth of the longer text's characters must be inserted, deleted or replaced.
 
-The bit fingerprint of a text has one bit set for each of its characters (64 bits) and bigrams (128
-bits), so that every edit flips at most 2 and 4 bits: texts within k edits lie within a Hamming radius
-of 2k and 4k, always. The code of a training text is cut into blocks, the hashes of kmax + 1 disjoint
+The bit fingerprint of a text has bits set by hashes of its characters, and of its bigrams on either side
+of a block, so that every edit flips at most 2 and 4 bits: texts within k edits that agree in a block lie
+within Hamming radii of 2k and 4k, always. The code of a training text is cut into blocks, the hashes of kmax + 1 disjoint
 segments, kmax being the most edits any partner may need; with k <= kmax edits at least one block stays
 whole (pigeonhole) and stands in the other text at most k places away. Blocks are joined across splits
 with position, length and both Hamming radii tested within the join; what passes is verified by its edit
@@ -20,11 +20,13 @@ characters must be equal; whole texts are used, of any length; repeated records
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from switchyard.llm.confusables import letters_and_digits_column
@@ -34,6 +36,11 @@ from switchyard.session import materialize
 TENTH = 10
 #: Longest block, in characters.
 BLOCK = 8
+#: Words of 64 bits for the characters of a text, and for the bigrams on either side of a block.
+CHAR_WORDS = 2
+SIDE_WORDS = 3
+#: Occurrences of one block within a text that are kept as rows of their own.
+REPEATS = 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _ODD = (np.random.default_rng(7).integers(1, 1 << 62, BLOCK, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
@@ -57,95 +64,110 @@ def _windows(cp: np.ndarray, size: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _bits(values: np.ndarray, words: int) -> list[int]:
-    out = [0] * words
-    mixed = ((values * _MIX) >> np.uint64(40)) % np.uint64(64 * words)
-    for bit in np.unique(mixed).tolist():
-        out[bit // 64] |= 1 << (bit % 64)
-    return [w - (1 << 64) if w >> 63 else w for w in out]
+def _one_hot(values: np.ndarray, words: int) -> np.ndarray:
+    """One row of words for each value, with the bit of its hash set."""
+    bit = ((values * _MIX) >> np.uint64(40)) % np.uint64(64 * words)
+    out = np.zeros((len(values), words), dtype=np.uint64)
+    out[np.arange(len(values)), bit >> np.uint64(6)] = np.uint64(1) << (bit & np.uint64(63))
+    return out
 
 
-def fingerprint(cp: np.ndarray) -> list[int]:
-    """64 bits of characters and 128 of bigrams, as three signed integers."""
-    pairs = cp[:-1] * np.uint64(0x1F123BB5) + cp[1:]
-    return _bits(cp + np.uint64(1), 1) + _bits(pairs, 2)
+def character_bits(cp: np.ndarray) -> np.ndarray:
+    """CHAR_WORDS words with a bit for each character and which of its occurrences it is: an edit flips 2 at most."""
+    order = np.argsort(cp, kind="stable")
+    ranked = cp[order]
+    first = np.r_[True, ranked[1:] != ranked[:-1]]
+    nth = np.arange(len(cp)) - np.maximum.accumulate(np.where(first, np.arange(len(cp)), 0))
+    hot = _one_hot(ranked * np.uint64(0x1F123BB5) + nth.astype(np.uint64), CHAR_WORDS)
+    return np.bitwise_or.reduce(hot, axis=0)
+
+
+def side_bits(cp: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each block, SIDE_WORDS words of the bigrams left of it and as many of those right of it: an edit flips 4 at most."""
+    zero = np.zeros((1, SIDE_WORDS), dtype=np.uint64)
+    hot = _one_hot(cp[:-1] * np.uint64(0x1F123BB5) + cp[1:], SIDE_WORDS)
+    left = np.concatenate([zero, np.bitwise_or.accumulate(hot, axis=0)]) if len(hot) else zero
+    right = np.concatenate([np.bitwise_or.accumulate(hot[::-1], axis=0)[::-1], zero]) if len(hot) else zero
+    return np.concatenate([left[np.maximum(at - 1, 0)], right[np.minimum(at + sizes, len(hot))]], axis=1)
 
 
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
 
 
-def indexed_blocks(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and place of the kmax + 1 disjoint blocks of a text."""
+def indexed_blocks(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, place and length of the kmax + 1 disjoint blocks of a text."""
     size = block_length(len(cp))
     at = np.arange(most_edits(len(cp)) + 1) * size
-    return _windows(cp, size)[at], at
+    return _windows(cp, size)[at], at, np.full(len(at), size)
 
 
-def sought_blocks(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and place of every window that a partner's block may stand at, for all lengths of its blocks."""
+def sought_blocks(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, place and length of every window that a partner's block may stand at, for all lengths of its blocks."""
     n = len(cp)
     least, most = n - n // TENTH, n + most_edits(n) + 1
     sizes = {BLOCK} if least >= BLOCK * (TENTH - 1) else {block_length(x) for x in range(max(1, least), most + 1)}
-    parts = [_windows(cp, s) for s in sorted(sizes) if s <= n]
-    return np.concatenate(parts), np.concatenate([np.arange(len(p)) for p in parts])
+    parts = [(s, _windows(cp, s)) for s in sorted(sizes) if s <= n]
+    return np.concatenate([p for _, p in parts]), np.concatenate([np.arange(len(p)) for _, p in parts]), np.concatenate([np.full(len(p), s) for s, p in parts])
+
+
+_WORDS = [f"c{i}" for i in range(CHAR_WORDS)] + [f"s{i}" for i in range(2 * SIDE_WORDS)]
+_SCHEMA = "rep string, block bigint, lo int, hi int, len int, " + ", ".join(f"{w} bigint" for w in _WORDS)
+
+
+def block_rows(cp: np.ndarray, blocks) -> tuple[np.ndarray, ...]:
+    """Arrays block, lo, hi, len and the words of one text's blocks.
+
+    A block that occurs more than REPEATS times in the text becomes one row for its range of places. It
+    has no sides, which is told by lo < hi, and is tested without them.
+    """
+    h, at, size = blocks(cp)
+    order = np.lexsort((at, h))
+    h, at, size = h[order], at[order], size[order]
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    count = np.diff(np.r_[first, len(h)])
+    many = count > REPEATS
+    keep = np.repeat(~many, count)
+    keep[first[many]] = True
+    hi = at.copy()
+    hi[first[many]] = at[(first + count - 1)[many]]
+    h, at, size, hi = h[keep], at[keep], size[keep], hi[keep]
+    words = np.concatenate([np.broadcast_to(character_bits(cp), (len(h), CHAR_WORDS)), side_bits(cp, at, size)], axis=1)
+    return h.view(np.int64), at.astype(np.int32), hi.astype(np.int32), np.full(len(h), len(cp), dtype=np.int32), *words.view(np.int64).T
 
 
 def _block_rows(blocks):
-    """mapInArrow: rows of (block, lo, hi, len, f0, f1, f2, rep); repeats within a text become one range of places."""
+    """mapInArrow over (rep, form): the rows of _SCHEMA."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            reps, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            reps, texts = batch.column(0), batch.column(1).to_pylist()
             for begin in range(0, len(texts), 500):
-                keys, lows, highs, meta, counts = [], [], [], [], []
-                for text in texts[begin : begin + 500]:
-                    cp = code_points(text)
-                    h, at = blocks(cp)
-                    order = np.lexsort((at, h))
-                    h, at = h[order], at[order]
-                    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-                    last = np.r_[first[1:], len(h)] - 1
-                    keys.append(h[first])
-                    lows.append(at[first])
-                    highs.append(at[last])
-                    meta.append((len(cp), *fingerprint(cp)))
-                    counts.append(len(first))
-                if not counts:
-                    continue
-                take = np.repeat(np.arange(len(counts)), counts)
-                m = np.array(meta, dtype=np.int64)[take]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate(keys).view(np.int64)),
-                        pa.array(np.concatenate(lows).astype(np.int32)),
-                        pa.array(np.concatenate(highs).astype(np.int32)),
-                        pa.array(m[:, 0].astype(np.int32)),
-                        *(pa.array(m[:, i]) for i in (1, 2, 3)),
-                        pa.array(reps[begin : begin + 500], pa.string()).take(pa.array(take)),
-                    ],
-                    names=["block", "lo", "hi", "len", "f0", "f1", "f2", "rep"],
-                )
+                rows = [block_rows(code_points(text), blocks) for text in texts[begin : begin + 500]]
+                take = np.repeat(np.arange(begin, begin + len(rows)), [len(r[0]) for r in rows])
+                columns = [pa.array(np.concatenate(c)) for c in zip(*rows)]
+                yield pa.RecordBatch.from_arrays([reps.take(pa.array(take)).cast(pa.string()), *columns], names=["rep", "block", "lo", "hi", "len", *_WORDS])
 
     return run
 
 
-_SCHEMA = "block bigint, lo int, hi int, len int, f0 bigint, f1 bigint, f2 bigint, rep string"
-
-
 def near_classes(a: DataFrame, b: DataFrame) -> DataFrame:
     """a, b: (rep, form) of distinct texts. Gives rep_a, rep_b, edits of all pairs within a tenth."""
     ra = a.select("rep", "form").mapInArrow(_block_rows(sought_blocks), _SCHEMA).alias("a")
     rb = b.select("rep", "form").mapInArrow(_block_rows(indexed_blocks), _SCHEMA).alias("b")
     k = F.floor(F.greatest("a.len", "b.len") / F.lit(TENTH))
-    flipped = lambda f: F.bit_count(F.col(f"a.{f}").bitwiseXOR(F.col(f"b.{f}")))
+
+    def flipped(words: list[str]) -> Column:
+        return reduce(operator.add, (F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in words))
+
+    one_place = (F.col("a.lo") == F.col("a.hi")) & (F.col("b.lo") == F.col("b.hi"))
     close = (
         (F.col("a.block") == F.col("b.block"))
         & (F.abs(F.col("a.len") - F.col("b.len")) <= k)
         & (F.col("a.lo") - F.col("b.hi") <= k)
         & (F.col("b.lo") - F.col("a.hi") <= k)
-        & (flipped("f0") <= 2 * k)
-        & (flipped("f1") + flipped("f2") <= 4 * k)
+        & (flipped(_WORDS[:CHAR_WORDS]) <= 2 * k)
+        & (~one_place | (flipped(_WORDS[CHAR_WORDS:]) <= 4 * k))
     )
     met = ra.join(rb, close).select(F.col("a.rep").alias("rep_a"), F.col("b.rep").alias("rep_b")).distinct()
     texts = met.join(a.select(F.col("rep").alias("rep_a"), F.col("form").alias("fa")), "rep_a").join(b.select(F.col("rep").alias("rep_b"), F.col("form").alias("fb")), "rep_b")

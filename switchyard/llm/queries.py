@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from switchyard.llm import confusables, dedup, overlap
+from switchyard.llm import sentences as sentence_units
 from switchyard.session import table
 
 
@@ -55,5 +56,9 @@ def p5_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.collapsed(table(spark, sf_dir, "seed_cases_template"), "row_id", ["case_id", "text"], ["slots_json"])
 
 
-QUERIES = {"p1_found": p1_found, "p1_consistent": p1_consistent, "p1_classes": p1_classes, "p2_found": p2_found, "p2_report": p2_report, "p5_found": p5_found, "p5_collapsed": p5_collapsed}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_units.sentences(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p1_found": p1_found, "p1_consistent": p1_consistent, "p1_classes": p1_classes, "p2_found": p2_found, "p2_report": p2_report, "p5_found": p5_found, "p5_collapsed": p5_collapsed, "p9_found": p9_found}
 SQL: dict[str, str] = {}

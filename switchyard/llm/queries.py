@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from switchyard.llm import confusables, dedup, overlap
+from switchyard.llm import confusables, dedup, mixing, overlap, packing, tokens
 from switchyard.llm import sentences as sentence_units
 from switchyard.session import table
 
@@ -56,9 +56,33 @@ def p5_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.collapsed(table(spark, sf_dir, "seed_cases_template"), "row_id", ["case_id", "text"], ["slots_json"])
 
 
+def _sizes(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    return tokens.sized(table(spark, sf_dir, "documents"), "doc_id", "text", None, *keep)
+
+
+def _specs(spark: SparkSession, sf_dir: str) -> list[tuple[str, int]]:
+    return [(r.spec_id, r.capacity_tokens) for r in table(spark, sf_dir, "pack_specs").orderBy("spec_id").collect()]
+
+
+def p7_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_sizes(spark, sf_dir), _specs(spark, sf_dir))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(p7_assignment(spark, sf_dir), _specs(spark, sf_dir))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_sizes(spark, sf_dir, "source"), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(_sizes(spark, sf_dir, "source"), table(spark, sf_dir, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_units.sentences(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_consistent": p1_consistent, "p1_classes": p1_classes, "p2_found": p2_found, "p2_report": p2_report, "p5_found": p5_found, "p5_collapsed": p5_collapsed, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p1_consistent": p1_consistent, "p1_classes": p1_classes, "p2_found": p2_found, "p2_report": p2_report, "p5_found": p5_found, "p5_collapsed": p5_collapsed, "p7_assignment": p7_assignment, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found}
 SQL: dict[str, str] = {}

@@ -13,10 +13,16 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 def tumbling_metrics(events: DataFrame, time: str, by: str, value: str, size: str = "1 day", late: str = "2 days") -> DataFrame:
     """Count and sum per window and key. On a stream, rows later than `late` are dropped and windows close."""
+    zoneless = dict(events.dtypes)[time] == "timestamp_ntz"
     if events.isStreaming:
+        if zoneless:  # a watermark needs an instant: the times are read as UTC, in any session
+            events = events.withColumn(time, F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col(time)).cast("timestamp"))
         events = events.withWatermark(time, late)
     per = events.groupBy(F.window(time, size), by).agg(F.count("*").alias("n"), F.round(F.sum(value), 2).alias("total"))
-    return per.select(F.col("window.start").alias("window_start"), by, "n", "total")
+    start = F.col("window.start")
+    if zoneless and events.isStreaming:
+        start = F.convert_timezone(F.current_timezone(), F.lit("UTC"), start.cast("timestamp_ntz"))
+    return per.select(start.alias("window_start"), by, "n", "total")
 
 
 def run_available(stream: DataFrame, checkpoint: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame | None:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from switchyard.functions import scoring, text
 from switchyard.operators import dictionary, ranking
 from switchyard.plans.registry import Register
-from switchyard.session import table
+from switchyard.session import spread, table
 
 register = Register()
 GOLDEN, REGRESSION = "network_ops_business_golden_v1", "network_ops_regression_local_fallback_v1"
@@ -46,7 +46,7 @@ def _case_sql(c: str, rules: list[tuple[list[str], str]]) -> str:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", text.normalize_text(F.col("text")).alias("norm"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).select("*", text.normalize_text(F.col("text")).alias("norm"))
 
 
 _DOCS = f"WITH d AS (SELECT doc_id, text, lang, source, {norm_sql('text')} AS norm FROM documents)"

@@ -28,6 +28,8 @@ from switchyard.session import materialize
 
 #: Rounds of multiplicative weights, step and tolerance, and configurations taken per round.
 ROUNDS, STEP, NEAR, PER_ROUND = 120, 0.25, 0.02, 64
+#: Times the program is solved for what rounding left.
+AGAIN = 3
 #: Items of one length that are ranked in one task.
 RANKED_TOGETHER = 100_000
 
@@ -97,42 +99,70 @@ class Plan:
         return tuple(np.array(x, dtype=np.int64)[order] for x in (self.length, self.start, self.base, self.per))
 
 
+class _Builder:
+    """A plan in the making: what is left of each length and where the next rank goes."""
+
+    def __init__(self, lengths: np.ndarray, counts: np.ndarray, capacity: int) -> None:
+        self.lengths, self.capacity, self.left = lengths, capacity, counts.copy()
+        self.placed, self.plan = np.zeros(len(lengths), dtype=np.int64), Plan()
+
+    def take(self, config: tuple[tuple[int, int], ...], times: int) -> None:
+        for i, a in config:
+            self.plan.length.append(int(self.lengths[i]))
+            self.plan.start.append(int(self.placed[i]))
+            self.plan.base.append(self.plan.containers)
+            self.plan.per.append(a)
+            self.placed[i] += a * times
+            self.left[i] -= a * times
+        self.plan.containers += times
+
+    def round_down(self, uses: dict[tuple, float]) -> bool:
+        """Takes the whole part of each configuration's use, the fullest first; whether there was any."""
+        filled = lambda config: sum(int(self.lengths[i]) * a for i, a in config)
+        any_taken = False
+        for config, x in sorted(uses.items(), key=lambda e: (-filled(e[0]), -e[1], e[0])):
+            times = min([int(x + 1e-9), *(int(self.left[i]) // a for i, a in config)])
+            if times > 0:
+                self.take(config, times)
+                any_taken = True
+        return any_taken
+
+    def first_fit(self) -> None:
+        """Fills what is left by first-fit-decreasing patterns, each repeated as long as its lengths last."""
+        while self.left.any():
+            config, room = [], self.capacity
+            for i in np.flatnonzero(self.left)[::-1]:
+                a = min(int(self.left[i]), room // int(self.lengths[i]))
+                if a > 0:
+                    config.append((int(i), a))
+                    room -= a * int(self.lengths[i])
+                if room < self.lengths[0]:
+                    break
+            self.take(tuple(config), min(int(self.left[i]) // a for i, a in config))
+
+
 def plan_containers(histogram: dict[int, int], capacity: int) -> Plan:
-    """Containers for a histogram of lengths, none above the capacity."""
-    plan = Plan()
+    """Containers for a histogram of lengths, none above the capacity.
+
+    The program is solved and rounded down, and again for what remains while whole uses come out, at most
+    AGAIN times. First-fit decreasing alone is kept if it happens to need fewer containers, as it may for
+    a handful of items.
+    """
     if not histogram:
-        return plan
+        return Plan()
     lengths = np.array(sorted(histogram), dtype=np.int64)
-    left = np.array([histogram[int(x)] for x in lengths], dtype=np.int64)
-    placed = np.zeros(len(lengths), dtype=np.int64)
-
-    def take(config: tuple[tuple[int, int], ...], times: int) -> None:
-        for i, a in config:
-            plan.length.append(int(lengths[i]))
-            plan.start.append(int(placed[i]))
-            plan.base.append(plan.containers)
-            plan.per.append(a)
-            placed[i] += a * times
-            left[i] -= a * times
-        plan.containers += times
-
-    uses = solve_configurations(lengths, left.copy(), capacity)
-    filled = lambda config: sum(int(lengths[i]) * a for i, a in config)
-    for config, x in sorted(uses.items(), key=lambda e: (-filled(e[0]), e[0])):
-        times = min([int(x), *(int(left[i]) // a for i, a in config)])
-        if times > 0:
-            take(config, times)
-    while left.any():
-        config, room = [], capacity
-        for i in np.flatnonzero(left)[::-1]:
-            a = min(int(left[i]), room // int(lengths[i]))
-            if a > 0:
-                config.append((int(i), a))
-                room -= a * int(lengths[i])
-            if room < lengths[0]:
-                break
-        take(tuple(config), min(int(left[i]) // a for i, a in config))
-    return plan
+    counts = np.array([histogram[int(x)] for x in lengths], dtype=np.int64)
+    greedy, solved = _Builder(lengths, counts, capacity), _Builder(lengths, counts, capacity)
+    greedy.first_fit()
+    for _ in range(AGAIN):
+        some = np.flatnonzero(solved.left)
+        if not len(some):
+            break
+        uses = solve_configurations(lengths[some], solved.left[some], capacity)
+        if not solved.round_down({tuple((int(some[i]), a) for i, a in config): x for config, x in uses.items()}):
+            break
+    solved.first_fit()
+    return min(solved.plan, greedy.plan, key=lambda p: p.containers)
 
 
 def _pieces(items: DataFrame, specs: list[tuple[str, int]]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from switchyard.llm import confusables, dedup, mixing, overlap, packing, tokens
 from switchyard.llm import sentences as sentence_units
-from switchyard.session import table
+from switchyard.session import spread, table
 
 
 def _visible_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def p5_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sizes(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
-    return tokens.sized(table(spark, sf_dir, "documents"), "doc_id", "text", None, *keep)
+    return tokens.sized(spread(table(spark, sf_dir, "documents").select("doc_id", "text", *keep)), "doc_id", "text", None, *keep)
 
 
 def _specs(spark: SparkSession, sf_dir: str) -> list[tuple[str, int]]:
@@ -81,7 +81,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentence_units.sentences(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return sentence_units.sentences(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 QUERIES = {"p1_found": p1_found, "p1_consistent": p1_consistent, "p1_classes": p1_classes, "p2_found": p2_found, "p2_report": p2_report, "p5_found": p5_found, "p5_collapsed": p5_collapsed, "p7_assignment": p7_assignment, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found}

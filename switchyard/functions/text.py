@@ -87,13 +87,13 @@ def embedded_json(c: Column) -> Column:
     """JSON text out of a model's answer: without code fences, else its outermost braces."""
     plain = uni_trim(F.regexp_replace(c, r"(?s)\A\s*```(?:json)?|```\s*\z", ""))
     braces = F.nullif(F.regexp_extract(c, r"(?s)(\{.*\})", 1), F.lit(""))
-    return F.when(F.get_json_object(plain, "$").isNotNull(), plain).otherwise(F.when(F.get_json_object(braces, "$").isNotNull(), braces))
+    return F.when(F.try_parse_json(plain).isNotNull(), plain).otherwise(F.when(F.try_parse_json(braces).isNotNull(), braces))
 
 
 def repaired_json(c: Column) -> Column:
     """The first of: the text, unescaped quotes, straight quotes for curly ones, double for single ones, that parses."""
     tries = [c, F.replace(c, F.lit('\\"'), F.lit('"')), F.translate(c, "“”‘’", "\"\"''"), F.replace(c, F.lit("'"), F.lit('"'))]
-    return F.coalesce(*(F.when(F.get_json_object(t, "$").isNotNull(), t) for t in tries))
+    return F.coalesce(*(F.when(F.try_parse_json(t).isNotNull(), t) for t in tries))
 
 
 def first_non_blank(*columns: Column) -> Column:

@@ -3,7 +3,7 @@
 Texts are compared by letters and digits, without case and look-alike differences. A pair overlaps if at
 most a tenth of the longer text's characters must be inserted, deleted or replaced.
 
-The bit fingerprint of a text has bits set by hashes of its characters, and of its bigrams on either side
+The bit fingerprint of a text has bits set by hashes of its characters and of its bigrams on either side
 of a block, so that every edit flips at most 2 and 4 bits: texts within k edits that agree in a block lie
 within Hamming radii of 2k and 4k, always. The code of a training text is cut into blocks, the hashes of kmax + 1 disjoint
 segments, kmax being the most edits any partner may need; with k <= kmax edits at least one block stays
@@ -36,9 +36,9 @@ from switchyard.session import materialize
 TENTH = 10
 #: Longest block, in characters.
 BLOCK = 8
-#: Words of 64 bits for the characters of a text, and for the bigrams on either side of a block.
-CHAR_WORDS = 2
-SIDE_WORDS = 3
+#: Words of 64 bits for the characters and for the bigrams on either side of a block.
+CHAR_WORDS = 3
+BIGRAM_WORDS = 4
 #: Occurrences of one block within a text that are kept as rows of their own.
 REPEATS = 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -72,23 +72,36 @@ def _one_hot(values: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
-def character_bits(cp: np.ndarray) -> np.ndarray:
-    """CHAR_WORDS words with a bit for each character and which of its occurrences it is: an edit flips 2 at most."""
+def _nth(cp: np.ndarray) -> np.ndarray:
+    """Which occurrence of its character each place holds, from 0."""
     order = np.argsort(cp, kind="stable")
-    ranked = cp[order]
+    ranked, places = cp[order], np.arange(len(cp))
     first = np.r_[True, ranked[1:] != ranked[:-1]]
-    nth = np.arange(len(cp)) - np.maximum.accumulate(np.where(first, np.arange(len(cp)), 0))
-    hot = _one_hot(ranked * np.uint64(0x1F123BB5) + nth.astype(np.uint64), CHAR_WORDS)
-    return np.bitwise_or.reduce(hot, axis=0)
+    out = np.empty(len(cp), dtype=np.uint64)
+    out[order] = places - np.maximum.accumulate(np.where(first, places, 0))
+    return out
+
+
+def _sides(forward: np.ndarray, backward: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of the first i values, for each i, and of the values from i on."""
+    zero = np.zeros((1, words), dtype=np.uint64)
+    if not len(forward):
+        return zero, zero
+    left = np.bitwise_or.accumulate(_one_hot(forward, words), axis=0)
+    right = np.bitwise_or.accumulate(_one_hot(backward, words)[::-1], axis=0)[::-1]
+    return np.concatenate([zero, left]), np.concatenate([right, zero])
 
 
 def side_bits(cp: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """For each block, SIDE_WORDS words of the bigrams left of it and as many of those right of it: an edit flips 4 at most."""
-    zero = np.zeros((1, SIDE_WORDS), dtype=np.uint64)
-    hot = _one_hot(cp[:-1] * np.uint64(0x1F123BB5) + cp[1:], SIDE_WORDS)
-    left = np.concatenate([zero, np.bitwise_or.accumulate(hot, axis=0)]) if len(hot) else zero
-    right = np.concatenate([np.bitwise_or.accumulate(hot[::-1], axis=0)[::-1], zero]) if len(hot) else zero
-    return np.concatenate([left[np.maximum(at - 1, 0)], right[np.minimum(at + sizes, len(hot))]], axis=1)
+    """For each block the words of its left and right side: CHAR_WORDS each of characters (with which of its
+    occurrences it is, counted from the outer end), of which an edit flips 2 at most, then BIGRAM_WORDS each
+    of bigrams, of which an edit flips 4 at most."""
+    turn = np.uint64(0x1F123BB5)
+    char_left, char_right = _sides(cp * turn + _nth(cp), cp * turn + _nth(cp[::-1])[::-1], CHAR_WORDS)
+    pairs = cp[:-1] * turn + cp[1:]
+    pair_left, pair_right = _sides(pairs, pairs, BIGRAM_WORDS)
+    after = at + sizes
+    return np.concatenate([char_left[at], char_right[after], pair_left[np.maximum(at - 1, 0)], pair_right[np.minimum(after, len(pairs))]], axis=1)
 
 
 def code_points(text: str) -> np.ndarray:
@@ -111,7 +124,7 @@ def sought_blocks(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([p for _, p in parts]), np.concatenate([np.arange(len(p)) for _, p in parts]), np.concatenate([np.full(len(p), s) for s, p in parts])
 
 
-_WORDS = [f"c{i}" for i in range(CHAR_WORDS)] + [f"s{i}" for i in range(2 * SIDE_WORDS)]
+_WORDS = [f"c{i}" for i in range(2 * CHAR_WORDS)] + [f"b{i}" for i in range(2 * BIGRAM_WORDS)]
 _SCHEMA = "rep string, block bigint, lo int, hi int, len int, " + ", ".join(f"{w} bigint" for w in _WORDS)
 
 
@@ -132,7 +145,7 @@ def block_rows(cp: np.ndarray, blocks) -> tuple[np.ndarray, ...]:
     hi = at.copy()
     hi[first[many]] = at[(first + count - 1)[many]]
     h, at, size, hi = h[keep], at[keep], size[keep], hi[keep]
-    words = np.concatenate([np.broadcast_to(character_bits(cp), (len(h), CHAR_WORDS)), side_bits(cp, at, size)], axis=1)
+    words = side_bits(cp, at, size)
     return h.view(np.int64), at.astype(np.int32), hi.astype(np.int32), np.full(len(h), len(cp), dtype=np.int32), *words.view(np.int64).T
 
 
@@ -166,8 +179,7 @@ def near_classes(a: DataFrame, b: DataFrame) -> DataFrame:
         & (F.abs(F.col("a.len") - F.col("b.len")) <= k)
         & (F.col("a.lo") - F.col("b.hi") <= k)
         & (F.col("b.lo") - F.col("a.hi") <= k)
-        & (flipped(_WORDS[:CHAR_WORDS]) <= 2 * k)
-        & (~one_place | (flipped(_WORDS[CHAR_WORDS:]) <= 4 * k))
+        & (~one_place | ((flipped(_WORDS[: 2 * CHAR_WORDS]) <= 2 * k) & (flipped(_WORDS[2 * CHAR_WORDS :]) <= 4 * k)))
     )
     met = ra.join(rb, close).select(F.col("a.rep").alias("rep_a"), F.col("b.rep").alias("rep_b")).distinct()
     texts = met.join(a.select(F.col("rep").alias("rep_a"), F.col("form").alias("fa")), "rep_a").join(b.select(F.col("rep").alias("rep_b"), F.col("form").alias("fb")), "rep_b")

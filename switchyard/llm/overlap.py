@@ -181,7 +181,8 @@ def near_classes(a: DataFrame, b: DataFrame) -> DataFrame:
         & (F.col("b.lo") - F.col("a.hi") <= k)
         & (~one_place | ((flipped(_WORDS[: 2 * CHAR_WORDS]) <= 2 * k) & (flipped(_WORDS[2 * CHAR_WORDS :]) <= 4 * k)))
     )
-    met = ra.join(rb, close).select(F.col("a.rep").alias("rep_a"), F.col("b.rep").alias("rep_b")).distinct()
+    # The rows made here are many more than the plan's estimate for them, so no side may be sent whole.
+    met = ra.join(rb.hint("merge"), close).select(F.col("a.rep").alias("rep_a"), F.col("b.rep").alias("rep_b")).distinct()
     texts = met.join(a.select(F.col("rep").alias("rep_a"), F.col("form").alias("fa")), "rep_a").join(b.select(F.col("rep").alias("rep_b"), F.col("form").alias("fb")), "rep_b")
     limit = F.floor(F.greatest(F.length("fa"), F.length("fb")) / F.lit(TENTH)).cast("int")
     return texts.withColumn("k", limit).withColumn("edits", F.expr("levenshtein(fa, fb, k)")).where("edits >= 0").select("rep_a", "rep_b", "edits")

@@ -19,6 +19,7 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Callable
+from decimal import Context, Decimal
 
 import numpy as np
 import pandas as pd
@@ -36,30 +37,42 @@ def _ids(form: bytes) -> tuple[int, int]:
 
 
 
+#: Numbers keep all their digits.
+_EXACT = Context(prec=20_000, Emax=10**17, Emin=-(10**17))
+
+
 def canonical_text(text: str) -> str:
     """Without white space, punctuation and letter case."""
     folded = unicodedata.normalize("NFC", text.upper().casefold())
     return "".join(c for c in folded if not (c.isspace() or unicodedata.category(c)[0] == "P"))
 
 
-def _number(text: str):
-    value = float(text)
-    return int(value) if value.is_integer() and abs(value) < 1e15 else value
+def _number(text: str) -> Decimal:
+    """A number by its value: 1, 1.0 and 10e-1 are one."""
+    try:
+        return Decimal(text).normalize(_EXACT)
+    except ArithmeticError:
+        return Decimal("NaN")
 
 
-def _canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, ensure_ascii=True, separators=(",", ":"))
+def _canonical(value: object) -> str:
+    """JSON text with sorted fields, no layout and numbers by value."""
+    if isinstance(value, dict):
+        return "{" + ",".join(sorted(json.dumps(k) + ":" + _canonical(v) for k, v in value.items())) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(_canonical, value)) + "]"
+    return str(value) if isinstance(value, Decimal) else json.dumps(value)
 
 
 def field_values(text: str) -> list[str]:
     """The field-value pairs of a JSON object in canonical form; one element for any other JSON or text."""
     try:
-        value = json.loads(text, parse_float=_number)
+        value = json.loads(text, parse_float=_number, parse_int=_number)
+        if isinstance(value, dict):
+            return [json.dumps(k) + ":" + _canonical(v) for k, v in value.items()] or ["{}"]
+        return ["=" + _canonical(value)]
     except (ValueError, RecursionError):
         return ["!" + text]
-    if isinstance(value, dict):
-        return [_canonical([k, v]) for k, v in value.items()] or ["{}"]
-    return ["=" + _canonical(value)]
 
 
 def _encode_text(text: str) -> list[int]:

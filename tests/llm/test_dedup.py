@@ -47,3 +47,11 @@ def test_empty_and_hot(spark):
 def test_columns_cannot_run_together(spark):
     df = spark.createDataFrame([(1, "ab", "c", None), (2, "a", "bc", None), (3, "abc", None, None), (4, None, "abc", None)], "row_id bigint, case_id string, text string, slots_json string")
     assert D.copies(df, "row_id", ["case_id", "text"], ["slots_json"]).count() == 0
+
+
+def test_numbers_count_by_value():
+    same = ["15", "15.0", "1.5e1", "150E-1"]
+    assert len({tuple(D.field_values('{"t":%s}' % x)) for x in same}) == 1
+    differ = ["15", "1.5", '"15"', "150", "-15", "15.0000000000000000001", "true"]
+    assert len({tuple(D.field_values('{"t":%s}' % x)) for x in differ}) == len(differ)
+    assert D.field_values('{"a":{"x":1,"y":[{"p":1,"q":2}]}}') == D.field_values('{"a":{"y":[{"q":2,"p":1.0}],"x":1}}')

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from switchyard.operators import orphans, packed, rawload
+from switchyard.plans.prepared_sql import SQL  # noqa: F401 - read by the entry
 from switchyard.session import table
 
 
@@ -45,20 +46,3 @@ def p6_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_tag_counts": p3_tag_counts, "p4_found": p4_found, "p4_loaded": p4_loaded, "p6_found": p6_found, "p6_by_month": p6_by_month}
-
-_ORPHANS = """
-  WITH refs AS (
-    SELECT 'seed_cases_template' AS ref_table, CAST(row_id AS VARCHAR) AS ref_id, scene_id AS k, created_at AS t FROM seed_cases_template
-    UNION ALL SELECT 'capability_intents', intent_id, capability_id, created_at FROM capability_intents),
-  found AS (
-    SELECT ref_table, ref_id, t,
-      CASE WHEN NOT EXISTS (SELECT 1 FROM capabilities c WHERE c.capability_id = k) THEN 'missing'
-           WHEN EXISTS (SELECT 1 FROM capabilities c WHERE c.capability_id = k AND c.created_at <= t) THEN 'deleted'
-           ELSE 'late' END AS kind
-    FROM refs WHERE k IS NOT NULL AND NOT EXISTS (
-      SELECT 1 FROM capabilities c WHERE c.capability_id = k AND c.created_at <= t AND (c.deleted_at IS NULL OR t < c.deleted_at)))
-"""
-SQL = {
-    "p6_found": _ORPHANS + "SELECT ref_table, ref_id, kind FROM found",
-    "p6_by_month": _ORPHANS + "SELECT ref_table, strftime(t, '%Y-%m') AS month, kind, COUNT(*) AS n_orphans FROM found GROUP BY 1, 2, 3",
-}

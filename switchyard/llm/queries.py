@@ -85,4 +85,10 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_consistent": p1_consistent, "p1_classes": p1_classes, "p2_found": p2_found, "p2_report": p2_report, "p5_found": p5_found, "p5_collapsed": p5_collapsed, "p7_assignment": p7_assignment, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found}
-SQL: dict[str, str] = {}
+_FORM = r"lower(upper(regexp_replace(@, '[\s\x{3000}\x{a0}\p{P}]', '', 'g')))"
+_GROUPS = f"""
+  WITH leaf AS (SELECT s.row_id, list_sort(list(t.fullkey || '=' || CASE WHEN t.type IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN CAST(CAST(t.atom AS DOUBLE) AS VARCHAR) ELSE t.type || coalesce(CAST(t.atom AS VARCHAR), '') END)) AS slots
+    FROM seed_cases_template s, json_tree(s.slots_json) t WHERE t.type <> 'OBJECT' GROUP BY s.row_id),
+  rec AS (SELECT s.row_id, {_FORM.replace('@', 's.case_id')} AS c, {_FORM.replace('@', 's.text')} AS t, coalesce(CAST(slots AS VARCHAR), CASE WHEN slots_json IS NOT NULL THEN '[]' END) AS j FROM seed_cases_template s LEFT JOIN leaf USING (row_id)),
+  g AS (SELECT row_id, min(row_id) OVER (PARTITION BY c, t, j) AS lo FROM rec)"""
+SQL: dict[str, str] = {"p5_found": _GROUPS + " SELECT lo AS row_id_lo, row_id AS row_id_hi FROM g WHERE row_id <> lo"}

@@ -114,11 +114,22 @@ def skeleton_column(text: Column) -> Column:
     return of(text)
 
 
+class _Kept(dict):
+    """For str.translate: drops every character but letters, marks and digits; each is looked up once."""
+
+    def __missing__(self, cp: int) -> int | None:
+        self[cp] = value = cp if unicodedata.category(chr(cp))[0] in "LNM" else None
+        return value
+
+
+_KEPT = _Kept()
+
+
 def letters_and_digits(text: str, table: dict[int, str], width: dict[int, str]) -> str:
     """Letters (with their marks) and digits of a text, without case and look-alike differences, composed."""
     shown = unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(width)).translate(table)
     folded = unicodedata.normalize("NFC", unicodedata.normalize("NFC", shown).casefold())
-    return "".join(c for c in folded if unicodedata.category(c)[0] in "LNM")
+    return folded.translate(_KEPT)
 
 
 def letters_and_digits_column(text: Column) -> Column:

@@ -41,6 +41,8 @@ CHAR_WORDS = 3
 BIGRAM_WORDS = 4
 #: Occurrences of one block within a text that are kept as rows of their own.
 REPEATS = 16
+#: Characters of texts of one length that are worked on as one array.
+TOGETHER = 20_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _ODD = (np.random.default_rng(7).integers(1, 1 << 62, BLOCK, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
@@ -55,73 +57,74 @@ def block_length(length: int) -> int:
 
 
 def _windows(cp: np.ndarray, size: int) -> np.ndarray:
-    n = len(cp) - size + 1
-    h = np.full(n, size, dtype=np.uint64)
+    """Hashes of all windows of a size; texts of one length are the rows of cp."""
+    n = cp.shape[1] - size + 1
+    h = np.full((len(cp), n), size, dtype=np.uint64)
     for j in range(size):
-        h += cp[j : j + n] * _ODD[j]
+        h += cp[:, j : j + n] * _ODD[j]
     h ^= h >> np.uint64(29)
     h *= _MIX
     return h ^ (h >> np.uint64(32))
 
 
 def _one_hot(values: np.ndarray, words: int) -> np.ndarray:
-    """One row of words for each value, with the bit of its hash set."""
+    """Words for each value, with the bit of its hash set."""
     bit = ((values * _MIX) >> np.uint64(40)) % np.uint64(64 * words)
-    out = np.zeros((len(values), words), dtype=np.uint64)
-    out[np.arange(len(values)), bit >> np.uint64(6)] = np.uint64(1) << (bit & np.uint64(63))
-    return out
+    one = np.uint64(1) << (bit & np.uint64(63))
+    return np.where((bit >> np.uint64(6))[..., None] == np.arange(words, dtype=np.uint64), one[..., None], np.uint64(0))
 
 
 def _nth(cp: np.ndarray) -> np.ndarray:
-    """Which occurrence of its character each place holds, from 0."""
-    order = np.argsort(cp, kind="stable")
-    ranked, places = cp[order], np.arange(len(cp))
-    first = np.r_[True, ranked[1:] != ranked[:-1]]
-    out = np.empty(len(cp), dtype=np.uint64)
-    out[order] = places - np.maximum.accumulate(np.where(first, places, 0))
+    """Which occurrence of its character within the text each place holds, from 0."""
+    order = np.argsort(cp, axis=1, kind="stable")
+    ranked, places = np.take_along_axis(cp, order, 1), np.arange(cp.shape[1])
+    first = np.ones(cp.shape, dtype=bool)
+    first[:, 1:] = ranked[:, 1:] != ranked[:, :-1]
+    out = np.empty(cp.shape, dtype=np.uint64)
+    np.put_along_axis(out, order, (places - np.maximum.accumulate(np.where(first, places, 0), axis=1)).astype(np.uint64), 1)
     return out
 
 
 def _sides(forward: np.ndarray, backward: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bits of the first i values, for each i, and of the values from i on."""
-    zero = np.zeros((1, words), dtype=np.uint64)
-    if not len(forward):
-        return zero, zero
-    left = np.bitwise_or.accumulate(_one_hot(forward, words), axis=0)
-    right = np.bitwise_or.accumulate(_one_hot(backward, words)[::-1], axis=0)[::-1]
-    return np.concatenate([zero, left]), np.concatenate([right, zero])
+    """Bits of the first i values of each text, for every i, and of the values from i on."""
+    zero = np.zeros((len(forward), 1, words), dtype=np.uint64)
+    left = np.bitwise_or.accumulate(_one_hot(forward, words), axis=1)
+    right = np.bitwise_or.accumulate(_one_hot(backward, words)[:, ::-1], axis=1)[:, ::-1]
+    return np.concatenate([zero, left], axis=1), np.concatenate([right, zero], axis=1)
 
 
 def side_bits(cp: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """For each block the words of its left and right side: CHAR_WORDS each of characters (with which of its
-    occurrences it is, counted from the outer end), of which an edit flips 2 at most, then BIGRAM_WORDS each
-    of bigrams, of which an edit flips 4 at most."""
+    """For each text (row of cp) and block, the words of the block's left and right side: CHAR_WORDS each of
+    characters (with which of its occurrences it is, counted from the outer end), of which an edit flips 2 at
+    most, then BIGRAM_WORDS each of bigrams, of which an edit flips 4 at most."""
     turn = np.uint64(0x1F123BB5)
-    char_left, char_right = _sides(cp * turn + _nth(cp), cp * turn + _nth(cp[::-1])[::-1], CHAR_WORDS)
-    pairs = cp[:-1] * turn + cp[1:]
+    char_left, char_right = _sides(cp * turn + _nth(cp), cp * turn + _nth(cp[:, ::-1])[:, ::-1], CHAR_WORDS)
+    pairs = cp[:, :-1] * turn + cp[:, 1:]
     pair_left, pair_right = _sides(pairs, pairs, BIGRAM_WORDS)
     after = at + sizes
-    return np.concatenate([char_left[at], char_right[after], pair_left[np.maximum(at - 1, 0)], pair_right[np.minimum(after, len(pairs))]], axis=1)
+    return np.concatenate([char_left[:, at], char_right[:, after], pair_left[:, np.maximum(at - 1, 0)], pair_right[:, np.minimum(after, pairs.shape[1])]], axis=2)
 
 
-def code_points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+def code_points(texts: list[str]) -> np.ndarray:
+    """One row of code points for each text; all of one length."""
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64).reshape(len(texts), -1)
 
 
 def indexed_blocks(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, place and length of the kmax + 1 disjoint blocks of a text."""
-    size = block_length(len(cp))
-    at = np.arange(most_edits(len(cp)) + 1) * size
-    return _windows(cp, size)[at], at, np.full(len(at), size)
+    """Hash, place and length of the kmax + 1 disjoint blocks of each text."""
+    n = cp.shape[1]
+    size = block_length(n)
+    at = np.arange(most_edits(n) + 1) * size
+    return _windows(cp, size)[:, at], at, np.full(len(at), size)
 
 
 def sought_blocks(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, place and length of every window that a partner's block may stand at, for all lengths of its blocks."""
-    n = len(cp)
+    n = cp.shape[1]
     least, most = n - n // TENTH, n + most_edits(n) + 1
     sizes = {BLOCK} if least >= BLOCK * (TENTH - 1) else {block_length(x) for x in range(max(1, least), most + 1)}
     parts = [(s, _windows(cp, s)) for s in sorted(sizes) if s <= n]
-    return np.concatenate([p for _, p in parts]), np.concatenate([np.arange(len(p)) for _, p in parts]), np.concatenate([np.full(len(p), s) for s, p in parts])
+    return np.concatenate([p for _, p in parts], axis=1), np.concatenate([np.arange(p.shape[1]) for _, p in parts]), np.concatenate([np.full(p.shape[1], s) for s, p in parts])
 
 
 _WORDS = [f"c{i}" for i in range(2 * CHAR_WORDS)] + [f"b{i}" for i in range(2 * BIGRAM_WORDS)]
@@ -129,24 +132,38 @@ _SCHEMA = "rep string, block bigint, lo int, hi int, len int, " + ", ".join(f"{w
 
 
 def block_rows(cp: np.ndarray, blocks) -> tuple[np.ndarray, ...]:
-    """Arrays block, lo, hi, len and the words of one text's blocks.
+    """Arrays text, block, lo, hi, len and the words of all blocks of texts of one length.
 
-    A block that occurs more than REPEATS times in the text becomes one row for its range of places. It
-    has no sides, which is told by lo < hi, and is tested without them.
+    A block that occurs more than REPEATS times in its text becomes one row for its range of places. It has
+    no sides, which is told by lo < hi, and is tested without them.
     """
     h, at, size = blocks(cp)
-    order = np.lexsort((at, h))
-    h, at, size = h[order], at[order], size[order]
-    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-    count = np.diff(np.r_[first, len(h)])
-    many = count > REPEATS
-    keep = np.repeat(~many, count)
-    keep[first[many]] = True
-    hi = at.copy()
-    hi[first[many]] = at[(first + count - 1)[many]]
-    h, at, size, hi = h[keep], at[keep], size[keep], hi[keep]
-    words = side_bits(cp, at, size)
-    return h.view(np.int64), at.astype(np.int32), hi.astype(np.int32), np.full(len(h), len(cp), dtype=np.int32), *words.view(np.int64).T
+    text, place = np.repeat(np.arange(len(cp)), len(at)), np.tile(at, len(cp))
+    words = side_bits(cp, at, size).reshape(len(text), -1)
+    h, hi = h.ravel(), place.copy()
+    ordered = np.sort(h.reshape(len(cp), -1), axis=1)
+    if ordered.shape[1] > REPEATS and (ordered[:, REPEATS:] == ordered[:, :-REPEATS]).any():
+        order = np.lexsort((place, h, text))
+        h, place, text, words, hi = h[order], place[order], text[order], words[order], hi[order]
+        first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (text[1:] != text[:-1])])
+        count = np.diff(np.r_[first, len(h)])
+        many = count > REPEATS
+        keep = np.repeat(~many, count)
+        keep[first[many]] = True
+        hi[first[many]] = place[(first + count - 1)[many]]
+        h, place, text, words, hi = h[keep], place[keep], text[keep], words[keep], hi[keep]
+    return text, h.view(np.int64), place.astype(np.int32), hi.astype(np.int32), np.full(len(h), cp.shape[1], dtype=np.int32), *words.view(np.int64).T
+
+
+def _groups(texts: list[str]) -> Iterator[list[int]]:
+    """Places of texts of one length, of some TOGETHER characters at a time."""
+    of: dict[int, list[int]] = {}
+    for i, t in enumerate(texts):
+        of.setdefault(len(t), []).append(i)
+    for n, places in of.items():
+        step = max(1, TOGETHER // n)
+        for begin in range(0, len(places), step):
+            yield places[begin : begin + step]
 
 
 def _block_rows(blocks):
@@ -155,11 +172,10 @@ def _block_rows(blocks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             reps, texts = batch.column(0), batch.column(1).to_pylist()
-            for begin in range(0, len(texts), 500):
-                rows = [block_rows(code_points(text), blocks) for text in texts[begin : begin + 500]]
-                take = np.repeat(np.arange(begin, begin + len(rows)), [len(r[0]) for r in rows])
-                columns = [pa.array(np.concatenate(c)) for c in zip(*rows)]
-                yield pa.RecordBatch.from_arrays([reps.take(pa.array(take)).cast(pa.string()), *columns], names=["rep", "block", "lo", "hi", "len", *_WORDS])
+            for places in _groups(texts):
+                text, *columns = block_rows(code_points([texts[i] for i in places]), blocks)
+                take = pa.array(np.array(places)[text])
+                yield pa.RecordBatch.from_arrays([reps.take(take).cast(pa.string()), *map(pa.array, columns)], names=["rep", "block", "lo", "hi", "len", *_WORDS])
 
     return run
 

@@ -64,8 +64,8 @@ def test_fingerprints_keep_within_their_radius():
         a = "".join(rng.choice("abcdefgh12345") for _ in range(n))
         for k in (1, 3, n // 10):
             b = edited(rng, a, k)
-            side = lambda t: O.side_bits(O.code_points(t), np.array([len(t)]), np.array([0]))[0]
-            other = lambda t: O.side_bits(O.code_points(t), np.array([0]), np.array([0]))[0]
+            side = lambda t: O.side_bits(O.code_points([t]), np.array([len(t)]), np.array([0]))[0, 0]
+            other = lambda t: O.side_bits(O.code_points([t]), np.array([0]), np.array([0]))[0, 0]
             for bits in (side, other):
                 flips = [bin(int(x) ^ int(y)).count("1") for x, y in zip(bits(a), bits(b))]
                 assert sum(flips[: 2 * O.CHAR_WORDS]) <= 2 * k and sum(flips[2 * O.CHAR_WORDS :]) <= 4 * k
@@ -77,3 +77,14 @@ def test_long_texts(spark):
     ed = spark.createDataFrame([("e1", edited(rng, a, 700), "s", "g")], "id string, text string, source string, split string")
     td = spark.createDataFrame([("t1", a), ("t2", a[::-1])], "id string, text string")
     assert [(r.eval_id, r.intent_id) for r in O.overlaps(ed, td).collect()] == [("e1", "t1")]
+
+
+def test_repeats_within_a_text(spark):
+    """Blocks that occur many times in their text are kept as ranges and still found."""
+    rng = random.Random(4)
+    a = "abcdefgh" * 60 + "xyz"
+    ed = spark.createDataFrame([(f"e{i}", edited(rng, a, 40), "s", "g") for i in range(4)], "id string, text string, source string, split string")
+    td = spark.createDataFrame([("t1", a), ("t2", "abcdefgh" * 61)], "id string, text string")
+    texts = {r.id: r.text for r in ed.select("id", "text").union(td).collect()}
+    expected = {(x, y) for x in texts for y in texts if x[0] == "e" and y[0] == "t" and distance(texts[x], texts[y]) <= max(len(texts[x]), len(texts[y])) // 10}
+    assert expected and {(r.eval_id, r.intent_id) for r in O.overlaps(ed, td).collect()} == expected

@@ -12,7 +12,7 @@ from switchyard.operators import evaluate, ranking, retrieve, seeds, slots
 from switchyard.plans import compiler
 from switchyard.plans.registry import Register
 from switchyard.plans.text_catalogue import _GAPS, _ROUTED, GOLDEN, REGRESSION, routed, scope_gaps, tokens_sql
-from switchyard.session import table
+from switchyard.session import spread, table
 from switchyard.streaming import windows
 
 register = Register()
@@ -56,7 +56,7 @@ def vector_map_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _text_hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     """BM25 of every document whose id is divisible by 100, with its whole text as the query, against all documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return retrieve.bm25(docs.where("doc_id % 100 = 0"), docs, "doc_id", "text", "doc_id", "text", k)
 
 
@@ -180,7 +180,7 @@ def clarify_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _seed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seeds.normalized_rows(table(spark, sf_dir, "seed_cases_template"), "row_id")
+    return seeds.normalized_rows(spread(table(spark, sf_dir, "seed_cases_template")), "row_id")
 
 
 def _clean(c: str) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from switchyard.operators import orphans, packed, rawload
 from switchyard.plans.prepared_sql import SQL  # noqa: F401 - read by the entry
-from switchyard.session import table
+from switchyard.session import spread, table
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,11 +20,11 @@ def p3_tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rawload.rejected(table(spark, sf_dir, "seed_cases_raw"), "line_id", "raw_line")
+    return rawload.rejected(spread(table(spark, sf_dir, "seed_cases_raw").select("line_id", "raw_line")), "line_id", "raw_line")
 
 
 def p4_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rawload.loaded(table(spark, sf_dir, "seed_cases_raw"), "line_id", "raw_line")
+    return rawload.loaded(spread(table(spark, sf_dir, "seed_cases_raw").select("line_id", "raw_line")), "line_id", "raw_line")
 
 
 def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:

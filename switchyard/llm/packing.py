@@ -16,6 +16,7 @@ their own; no items give no containers; capacities must be positive.
 
 from __future__ import annotations
 
+from copy import deepcopy
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -127,6 +128,12 @@ class _Builder:
                 any_taken = True
         return any_taken
 
+    def finished(self) -> Plan:
+        """The plan with what is left filled by first-fit decreasing; this one goes on as it is."""
+        other = deepcopy(self)
+        other.first_fit()
+        return other.plan
+
     def first_fit(self) -> None:
         """Fills what is left by first-fit-decreasing patterns, each repeated as long as its lengths last."""
         while self.left.any():
@@ -145,24 +152,26 @@ def plan_containers(histogram: dict[int, int], capacity: int) -> Plan:
     """Containers for a histogram of lengths, none above the capacity.
 
     The program is solved and rounded down, and again for what remains while whole uses come out, at most
-    AGAIN times. First-fit decreasing alone is kept if it happens to need fewer containers, as it may for
-    a handful of items.
+    AGAIN times and until the volume leaves nothing to gain. Of the plans so made, each finished by
+    first-fit decreasing, the one with the fewest containers is kept; for a handful of items that may be
+    first-fit decreasing alone.
     """
     if not histogram:
         return Plan()
     lengths = np.array(sorted(histogram), dtype=np.int64)
     counts = np.array([histogram[int(x)] for x in lengths], dtype=np.int64)
-    greedy, solved = _Builder(lengths, counts, capacity), _Builder(lengths, counts, capacity)
-    greedy.first_fit()
+    solved, least = _Builder(lengths, counts, capacity), -(-int((lengths * counts).sum()) // capacity)
+    greedy, plans = _Builder(lengths, counts, capacity), []
     for _ in range(AGAIN):
         some = np.flatnonzero(solved.left)
         if not len(some):
             break
         uses = solve_configurations(lengths[some], solved.left[some], capacity)
-        if not solved.round_down({tuple((int(some[i]), a) for i, a in config): x for config, x in uses.items()}):
+        whole = solved.round_down({tuple((int(some[i]), a) for i, a in config): x for config, x in uses.items()})
+        plans.append(solved.finished())
+        if not whole or plans[-1].containers == least:
             break
-    solved.first_fit()
-    return min(solved.plan, greedy.plan, key=lambda p: p.containers)
+    return min([*plans, greedy.finished()], key=lambda p: p.containers)
 
 
 def _pieces(items: DataFrame, specs: list[tuple[str, int]]) -> DataFrame:

@@ -22,6 +22,17 @@ _RAW = rf"""
     WHEN slots <> '' AND NOT (json_valid(slots) AND json_type(CASE WHEN json_valid(slots) THEN slots ELSE '0' END) = 'OBJECT' AND NOT regexp_matches(slots, ',\s*[}}\]]|:\s*-?(NaN|Infinity)')) THEN 'slots_json' END AS reason FROM u)
 """
 
+_COLUMNS = "case_id scene_id label text route_type slots_json tags priority owner version enabled risk_level source notes".split()
+_VALUE = r"""CASE WHEN fs[#][1] = '"' THEN replace(fs[#][2:-2], '""', '"') ELSE fs[#] END"""
+_CLEAN = rf"nullif(regexp_replace({_VALUE}, '^\s+|\s+$', '', 'g'), '')"
+_SPECIAL = {
+    "text": f"CASE WHEN {_CLEAN} IS NOT NULL THEN {_VALUE} END",
+    "priority": f"TRY_CAST({_CLEAN} AS INTEGER)",
+    "enabled": f"CASE WHEN lower({_CLEAN}) IN ('1', 'true', 'yes', 'y', 'on') THEN true WHEN lower({_CLEAN}) IN ('0', 'false', 'no', 'n', 'off') THEN false END",
+}
+_LOADED = rf"""{_RAW}, fields AS (SELECT line_id, regexp_extract_all(raw_line, '(?:^|,)({_FIELD})', 1, 's') AS fs FROM seed_cases_raw JOIN found USING (line_id) WHERE reason IS NULL)
+  SELECT line_id, {", ".join(_SPECIAL.get(c, _CLEAN).replace("#", str(i + 1)) + f" AS {c}" for i, c in enumerate(_COLUMNS))} FROM fields"""
+
 _ORPHANS = """
   WITH refs AS (
     SELECT 'seed_cases_template' AS ref_table, CAST(row_id AS VARCHAR) AS ref_id, scene_id AS k, created_at AS t FROM seed_cases_template
@@ -39,6 +50,7 @@ SQL = {
     "p3_found": _TAGS + "SELECT row_id, pos, tag FROM found",
     "p3_tag_counts": _TAGS + "SELECT tag, count(*) AS n_uses, CAST(count(*) FILTER (pos = 1) AS BIGINT) AS n_first FROM found GROUP BY tag",
     "p4_found": _RAW + "SELECT line_id, reason FROM found WHERE reason IS NOT NULL",
+    "p4_loaded": _LOADED,
     "p6_found": _ORPHANS + "SELECT ref_table, ref_id, kind FROM found",
     "p6_by_month": _ORPHANS + "SELECT ref_table, strftime(t, '%Y-%m') AS month, kind, COUNT(*) AS n_orphans FROM found GROUP BY 1, 2, 3",
 }

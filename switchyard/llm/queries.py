@@ -91,4 +91,7 @@ _GROUPS = f"""
     FROM seed_cases_template s, json_tree(s.slots_json) t WHERE t.type <> 'OBJECT' GROUP BY s.row_id),
   rec AS (SELECT s.row_id, {_FORM.replace('@', 's.case_id')} AS c, {_FORM.replace('@', 's.text')} AS t, coalesce(CAST(slots AS VARCHAR), CASE WHEN slots_json IS NOT NULL THEN '[]' END) AS j FROM seed_cases_template s LEFT JOIN leaf USING (row_id)),
   g AS (SELECT row_id, min(row_id) OVER (PARTITION BY c, t, j) AS lo FROM rec)"""
-SQL: dict[str, str] = {"p5_found": _GROUPS + " SELECT lo AS row_id_lo, row_id AS row_id_hi FROM g WHERE row_id <> lo"}
+SQL: dict[str, str] = {
+    "p5_found": _GROUPS + " SELECT lo AS row_id_lo, row_id AS row_id_hi FROM g WHERE row_id <> lo",
+    "p5_collapsed": _GROUPS + ", n AS (SELECT lo AS row_id, count(*) AS n_copies FROM g GROUP BY lo) SELECT s.*, n_copies FROM seed_cases_template s JOIN n USING (row_id)",
+}

@@ -10,6 +10,24 @@ from pyspark.sql import functions as F
 from switchyard.functions.text import clean_list, first_non_blank
 
 
+def _field(df: DataFrame, path: str, kind: str) -> Column:
+    """A column or a field of a struct; null if the frame has none."""
+    at = df.schema
+    for part in path.split("."):
+        if part not in getattr(at, "names", []):
+            return F.lit(None).cast(kind)
+        at = at[part].dataType
+    return F.col(path)
+
+
+def _list(df: DataFrame, path: str) -> Column:
+    return clean_list(_field(df, path, "array<string>"))
+
+
+def _template_id(intents: DataFrame) -> Column:
+    return F.coalesce(first_non_blank(_field(intents, "template.template_id", "string")), _field(intents, "template_id", "string"))
+
+
 def scenes(capabilities: DataFrame) -> DataFrame:
     """Enabled capabilities as scenes, with their defaults; lists trimmed and without blanks."""
     c = capabilities.where(F.coalesce(F.col("enabled"), F.lit(True)))
@@ -20,13 +38,48 @@ def scenes(capabilities: DataFrame) -> DataFrame:
 
 
 def seeds(intents: DataFrame) -> DataFrame:
-    """Intents as seeds: text from text, label or case; route from the intent, else by whether it has a template."""
-    route = first_non_blank(F.col("route_type"), F.when(F.col("template_id").isNotNull(), "route_template").otherwise("route_nl2sql"))
+    """Intents as seeds: text from text, first example, label or case; route from the intent, else by whether it has a template."""
+    route = first_non_blank(F.col("route_type"), F.when(_template_id(intents).isNotNull(), "route_template").otherwise("route_nl2sql"))
     return intents.where(F.coalesce(F.col("enabled"), F.lit(True))).select(
-        "intent_id", "case_id", F.col("capability_id").alias("scene_id"), first_non_blank(F.col("text"), F.col("label"), F.col("case_id")).alias("text"), route.alias("route_type"), clean_list(F.col("tags")).alias("tags"), F.coalesce("priority", F.lit(100)).alias("priority"), "template_id"
+        "intent_id", "case_id", F.col("capability_id").alias("scene_id"), first_non_blank(F.col("text"), F.get(_list(intents, "examples"), F.lit(0)), F.col("label"), F.col("case_id")).alias("text"), route.alias("route_type"), clean_list(F.col("tags")).alias("tags"), F.coalesce("priority", F.lit(100)).alias("priority"), _template_id(intents).alias("template_id")
     )
 
 
+def templates(intents: DataFrame) -> DataFrame:
+    """Templates of the intents that have a case and a template: each value from the nested template, if it says any, else from the intent."""
+
+    def either(name: str) -> Column:
+        own = _list(intents, f"template.{name}")
+        return F.when(F.size(own) > 0, own).otherwise(_list(intents, name))
+
+    schema = {f: [_list(intents, f"{at}slot_schema.{f}") for at in ("template.", "")] for f in ("required", "optional")}
+    own = sum((F.size(own) for own, _ in schema.values()), F.lit(0)) > 0
+    out = intents.select(
+        first_non_blank(_template_id(intents)).alias("template_id"), F.col("capability_id").alias("scene_id"), first_non_blank(F.col("case_id")).alias("case_id_ref"), *(F.when(own, a).otherwise(b).alias(f"{f}_slots") for f, (a, b) in schema.items()),
+        *(either(x).alias(x) for x in ("examples", "keywords", "negative_keywords")), F.coalesce(_field(intents, "template.enabled", "boolean"), F.col("enabled"), F.lit(True)).alias("enabled"),
+    )
+    return out.where("enabled and template_id is not null and case_id_ref is not null").drop("enabled")
+
+
+def with_legacy(compiled: DataFrame, legacy: DataFrame, key: str) -> DataFrame:
+    """compiled and the rows of an older list of the same scene whose key no intent has."""
+    listed = compiled.select("scene_id", key).distinct()
+    return compiled.unionByName(legacy.where(first_non_blank(F.col(key)).isNotNull()).join(listed, ["scene_id", key], "left_anti"), allowMissingColumns=True)
+
+
+def cases(capabilities: DataFrame) -> DataFrame:
+    """A case for each enabled capability with recommendations: its id or case_{capability}, three examples, the actions."""
+    c = capabilities.where(F.coalesce(F.col("enabled"), F.lit(True)) & (F.size("recommendations") > 0))
+    case_id = F.coalesce(first_non_blank(_field(c, "recommendation_case_id", "string")), F.concat(F.lit("case_"), F.replace("capability_id", F.lit("."), F.lit("_"))))
+    return c.select(case_id.alias("case_id"), F.col("capability_id").alias("scene_id"), F.slice(_list(c, "examples"), 1, 3).alias("examples"), F.col("recommendations").alias("recommended_actions"))
+
+
+def slot_policies(capabilities: DataFrame, defaults: DataFrame | None = None) -> DataFrame:
+    """scene_id, slot_policy (a map) of the capabilities that have one, enabled or not; the defaults, if given, stand at the scene null."""
+    own = capabilities.where(F.size("slot_policy") > 0).select(F.col("capability_id").alias("scene_id"), "slot_policy")
+    return own if defaults is None else own.unionByName(defaults.select(F.lit(None).cast("string").alias("scene_id"), "slot_policy"))
+
+
 def index_documents(scenes_: DataFrame) -> DataFrame:
     """One document per description, phrase and keyword of a scene: id `{scene}_{place}`."""
     texts = F.concat(F.array("description"), F.col("entry_phrases"), F.col("keywords"))
@@ -34,6 +87,23 @@ def index_documents(scenes_: DataFrame) -> DataFrame:
     return each.select(F.concat_ws("_", "scene_id", F.col("place").cast("string")).alias("doc_id"), "scene_id", "version", "text")
 
 
+def template_documents(templates_: DataFrame) -> DataFrame:
+    """One document per example and keyword of a template: id `{template}_{place}`."""
+    each = templates_.select("template_id", "scene_id", F.posexplode(F.concat("examples", "keywords")).alias("place", "text"))
+    return each.select(F.concat_ws("_", "template_id", F.col("place").cast("string")).alias("doc_id"), "scene_id", "template_id", "text")
+
+
+def seed_documents(seeds_: DataFrame) -> DataFrame:
+    """One document per seed that has a case: id is the case."""
+    return seeds_.select(first_non_blank(F.col("case_id")).alias("doc_id"), "scene_id", "template_id", "text").where("doc_id is not null and text is not null")
+
+
+def all_index_documents(scenes_: DataFrame, templates_: DataFrame, seeds_: DataFrame) -> DataFrame:
+    """kind (scene, template, seed), doc_id, scene_id, template_id, text of all three."""
+    parts = {"scene": index_documents(scenes_).withColumn("template_id", F.lit(None).cast("string")), "template": template_documents(templates_), "seed": seed_documents(seeds_)}
+    return reduce(DataFrame.unionByName, (d.select(F.lit(kind).alias("kind"), "doc_id", "scene_id", "template_id", "text") for kind, d in parts.items()))
+
+
 def violations(name: str, df: DataFrame, key: Column, unique: bool = False, bad: Column | None = None) -> DataFrame:
     """Rows (rule, key, n) that break a constraint: a key that is not unique, or rows for which bad holds."""
     rows = df.select(key.cast("string").alias("key"), (bad if bad is not None else F.lit(True)).alias("bad")).where("bad")

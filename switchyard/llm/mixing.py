@@ -27,12 +27,13 @@ MOST_SOURCES = 100_000
 
 
 def _cut_cdf(mean: float, cap: int) -> list[float]:
-    """P(Poisson(mean) <= k) for k below the cap."""
-    term, total, out = math.exp(-mean), 0.0, []
+    """P(Poisson(mean) <= k) for k below the cap. Terms in logarithms, as exp(-mean) is 0 for large means."""
+    if mean <= 0:
+        return [1.0] * cap
+    total, log, out = 0.0, math.log(mean), []
     for k in range(cap):
-        total += term
+        total += math.exp(k * log - mean - math.lgamma(k + 1))
         out.append(min(1.0, total))
-        term *= mean / (k + 1)
     return out
 
 
@@ -40,7 +41,7 @@ def poisson_mean(rate: float, cap: int) -> float:
     """The mean whose Poisson distribution, cut at cap, has the mean rate (below cap)."""
     of = lambda mean: sum(1 - p for p in _cut_cdf(mean, cap))
     low, high = 0.0, 1.0
-    while of(high) < rate and high < 600:
+    while of(high) < rate:
         high *= 2
     for _ in range(80):
         middle = (low + high) / 2

@@ -105,3 +105,11 @@ def test_mix(spark):
     assert sum(r.n_tokens for r in got) == sum(r.n_tokens for r in report.values())
     assert sorted((r.doc_id, r["copy"]) for r in M.mix(df.repartition(7), targets).collect()) == sorted((r.doc_id, r["copy"]) for r in got)
     assert M.mix(df.limit(0), targets).count() == 0 and M.mix(df, targets.limit(0)).count() == 0
+
+
+def test_poisson_mean_of_large_caps():
+    for rate, cap in ((800.0, 2000), (1990.0, 2000), (590.0, 700), (5.0, 2000)):
+        mean = M.poisson_mean(rate, cap)
+        assert abs(sum(1 - p for p in M._cut_cdf(mean, cap)) - rate) < 1e-6
+    (plan,) = M.plan_mix([("tiny", 0.8, 2000)], {"tiny": 10}, 10_000)
+    assert not plan.limited and abs(sum(1 - p for p in plan.cdf) - 800) < 1e-6

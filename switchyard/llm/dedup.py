@@ -17,9 +17,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Callable
-from decimal import Context, Decimal
+from decimal import MAX_EMAX, MIN_EMIN, Context, Decimal
 
 import numpy as np
 import pandas as pd
@@ -37,8 +38,11 @@ def _ids(form: bytes) -> tuple[int, int]:
 
 
 
-#: Numbers keep all their digits.
-_EXACT = Context(prec=20_000, Emax=10**17, Emin=-(10**17))
+_JSON_NUMBER = re.compile(r"(-?)(\d+)(?:\.(\d+))?(?:[eE]([+-]?\d+))?")
+
+
+class _Number(str):
+    """A number in canonical form."""
 
 
 class _Kept(dict):
@@ -59,12 +63,17 @@ def canonical_text(text: str) -> str:
     return folded.translate(_KEPT)
 
 
-def _number(text: str) -> Decimal:
-    """A number by its value: 1, 1.0 and 10e-1 are one."""
-    try:
-        return Decimal(text).normalize(_EXACT)
-    except ArithmeticError:
-        return Decimal("NaN")
+def _number(text: str) -> _Number:
+    """A number by its value: 1, 1.0 and 10e-1 are one. Its own digits without outer zeros, and its exponent, however long."""
+    sign, whole, part, exponent = _JSON_NUMBER.fullmatch(text).groups(default="")
+    digits = (whole + part).lstrip("0")
+    if not digits:
+        return _Number(sign + "0")
+    bare = digits.rstrip("0")
+    shift = len(digits) - len(bare) - len(part)
+    # Wide enough for every digit of the exponent; int() has a limit of digits.
+    power = Context(prec=len(exponent) + 25, Emax=MAX_EMAX, Emin=MIN_EMIN).add(Decimal(exponent), shift) if len(exponent) > 15 else int(exponent or 0) + shift
+    return _Number(f"{sign}{bare}e{power:f}" if isinstance(power, Decimal) else f"{sign}{bare}e{power}")
 
 
 def _canonical(value: object) -> str:
@@ -73,7 +82,7 @@ def _canonical(value: object) -> str:
         return "{" + ",".join(sorted(json.dumps(k) + ":" + _canonical(v) for k, v in value.items())) + "}"
     if isinstance(value, list):
         return "[" + ",".join(map(_canonical, value)) + "]"
-    return str(value) if isinstance(value, Decimal) else json.dumps(value)
+    return value if isinstance(value, _Number) else json.dumps(value)
 
 
 def field_values(text: str) -> list[str]:

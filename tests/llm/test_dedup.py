@@ -55,3 +55,11 @@ def test_numbers_count_by_value():
     differ = ["15", "1.5", '"15"', "150", "-15", "15.0000000000000000001", "true"]
     assert len({tuple(D.field_values('{"t":%s}' % x)) for x in differ}) == len(differ)
     assert D.field_values('{"a":{"x":1,"y":[{"p":1,"q":2}]}}') == D.field_values('{"a":{"y":[{"q":2,"p":1.0}],"x":1}}')
+
+
+def test_extreme_numbers_keep_their_value():
+    long, far = "7" * 20_001, "9" * 21
+    differ = [long + "1", long + "2", f"1e{far}", f"2e{far}", f"1e-{far}", "1e" + "1" * 5000, "1e" + "1" * 4999 + "2", "-0", "0"]
+    assert len({tuple(D.field_values('{"t":%s}' % x)) for x in differ}) == len(differ)
+    for same in ([long + "1", long + "1.0", f"{long[0]}.{long[1:]}1e20001"], [f"1e{far}", f"10e{'9' * 20}8", f"0.1e1{'0' * 21}"], ["1e" + "0" * 6000 + "1", "10"], ["0", "0.0", "0e5"]):
+        assert len({tuple(D.field_values('{"t":%s}' % x)) for x in same}) == 1

@@ -33,3 +33,15 @@ def test_plan_cuts_before_the_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("g"), "id")
     plan = ranking.top_k(df, ["g"], [F.col("id")], 2)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_bm25_over_boosted_fields(spark):
+    docs = spark.createDataFrame([(1, "core switch", None, ("north",), ["alpha", "beta"]), (2, "edge", "10.0.0.1", ("core",), None), (3, "edge edge", "10.0.0.2", (None,), ["core"]), (4, None, None, None, [])], "id int, name string, ip string, metadata struct<name: string>, aliases array<string>")
+    asked = spark.createDataFrame([(1, "10.0.0.1"), (2, "beta"), (3, "core"), (4, "north"), (5, "nothing")], "q int, t string")
+    fields = {"name": 3.0, "ip": 4.0, "metadata.name": 1.0, "aliases": 1.0}
+    got = {}
+    for r in retrieve.bm25_fields(asked, docs, "q", "t", "id", fields, 2).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.doc_id, round(r.score, 6)))
+    assert {q: [d for d, _ in x] for q, x in got.items()} == {1: [2], 2: [1], 3: [1, 3], 4: [1]}
+    names = {r.doc_id: round(3 * r.score, 6) for r in retrieve.bm25(asked.where("q = 3"), docs, "q", "t", "id", "name", 9).collect()}
+    assert got[3][0] == (1, names[1])

@@ -1,4 +1,4 @@
-"""Retrieval over index tables: exact nearest neighbours by blocks, and BM25 over an inverted index."""
+"""Retrieval over index tables: exact nearest neighbours by blocks, BM25 over an inverted index, lexical scores; resolvers."""
 
 from __future__ import annotations
 
@@ -7,11 +7,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from switchyard.functions.scoring import keyword_overlap, sequence_ratio
 from switchyard.functions.text import TOKEN_SPLIT as TOKENS
-from switchyard.functions.text import tokenize
+from switchyard.functions.text import extract_ip, tokenize
 from switchyard.operators.ranking import top_k
 from switchyard.session import is_small
 
@@ -112,3 +113,49 @@ def _bm25_scores(queries: DataFrame, docs: DataFrame, query_id: str, query_text:
     terms = asked.join(df, "token").crossJoin(F.broadcast(stats)).withColumn("idf", F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = F.col("idf") * F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
     return terms.join(index, "token").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+
+
+def lexical_scores(pairs: DataFrame, norm: str, keywords: str, examples: str) -> DataFrame:
+    """pairs with `score`: the greater of the keyword overlap and the best similarity to an example. Each distinct text and example is compared once."""
+    each = pairs.select(norm, F.explode(examples).alias("_example")).where(F.col(norm).isNotNull() & F.col("_example").isNotNull()).distinct()
+    ratios = each.withColumn("_ratio", sequence_ratio(norm, "_example"))
+    best = pairs.select(norm, examples).distinct().withColumn("_example", F.explode(examples)).join(ratios, [norm, "_example"]).groupBy(norm, examples).agg(F.max("_ratio").alias("_best"))
+    words = F.coalesce(keyword_overlap(F.col(norm), tokenize(F.col(norm)), F.coalesce(F.col(keywords), F.array().cast("array<string>"))), F.lit(0.0))
+    return pairs.join(best, [norm, examples], "left").withColumn("score", F.greatest(words, F.coalesce("_best", F.lit(0.0)))).drop("_best")
+
+
+def lexical(queries: DataFrame, items: DataFrame, k: int, query_id: str, norm: str, item_id: str, keywords: str, examples: str, same: str | None = None) -> DataFrame:
+    """query_id, item_id, score, rank: the k items of greatest lexical score, every pair being scored; ties break on item_id.
+
+    For templates, same is their scene; for seed cases, keywords are the tags and examples the text and label.
+    """
+    keep = [same] if same else []
+    asked = queries.select(F.col(query_id).alias("q"), F.col(norm).alias("_norm"), *keep)
+    there = items.select(F.col(item_id).alias("i"), F.col(keywords).alias("_keywords"), F.col(examples).alias("_examples"), *keep)
+    scored = lexical_scores(asked.join(there, same) if same else asked.crossJoin(there), "_norm", "_keywords", "_examples")
+    best = top_k(scored, ["q"], [F.col("score").desc(), F.col("i")], k)
+    return best.select(F.col("q").alias(query_id), F.col("i").alias(item_id), "score", "rank")
+
+
+def no_hits(queries: DataFrame, query_id: str, item_id: str, item_type: str = "string") -> DataFrame:
+    """The retriever where there is no index: no row, with the columns of the others."""
+    return queries.select(F.col(query_id), F.lit(None).cast(item_type).alias(item_id), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+
+
+def _candidate(entity_id: Column, name: Column, score: float) -> Column:
+    return F.struct(entity_id.alias("entity_id"), name.alias("name"), F.lit(score).alias("score"))
+
+
+def resolve_devices(text: Column, words: list[tuple[list[str], str, str, float]] = (), k: int = 5) -> Column:
+    """Candidates (entity_id, name, score): the first address as dev_a_b_c_d at 0.9, then every entry (words, id, name, score) of which a word occurs."""
+    ip, low = extract_ip(text), F.concat(F.lit(" "), F.lower(text), F.lit(" "))
+    found = [F.when(ip.isNotNull(), _candidate(F.concat(F.lit("dev_"), F.replace(ip, F.lit("."), F.lit("_"))), F.concat(F.lit("设备"), ip), 0.9))]
+    for ws, entity, name, score in words:
+        found.append(F.when(reduce(lambda a, b: a | b, (F.contains(low, F.lit(w.lower())) for w in ws)), _candidate(F.lit(entity), F.lit(name), score)))
+    return F.slice(F.array_compact(F.array(*found)), 1, k)
+
+
+def resolve_regions(text: Column, regions: dict[str, tuple[str, str]], k: int = 5) -> Column:
+    """Candidates at 0.88, one for each word of regions (to id and name) that occurs, in the order of regions."""
+    found = [F.when(F.contains(text, F.lit(w)), _candidate(F.lit(e), F.lit(n), 0.88)) for w, (e, n) in regions.items()]
+    return F.slice(F.array_compact(F.array(*found)), 1, k)

@@ -1,3 +1,5 @@
+from difflib import SequenceMatcher
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -45,3 +47,24 @@ def test_bm25_over_boosted_fields(spark):
     assert {q: [d for d, _ in x] for q, x in got.items()} == {1: [2], 2: [1], 3: [1, 3], 4: [1]}
     names = {r.doc_id: round(3 * r.score, 6) for r in retrieve.bm25(asked.where("q = 3"), docs, "q", "t", "id", "name", 9).collect()}
     assert got[3][0] == (1, names[1])
+
+
+def test_lexical(spark):
+    items = spark.createDataFrame([("a", "s", ["cpu", "load"], ["Show CPU load"]), ("b", "s", ["cpu"], None), ("c", "t", [], ["show cpu loads", "zzz"]), ("d", "s", None, [])], "item string, scene string, keywords array<string>, examples array<string>")
+    asked = spark.createDataFrame([(1, "show cpu load", "s"), (2, "zzz", "t"), (3, None, "s")], "id int, norm string, scene string")
+    got = {(r.id, r["rank"]): (r.item, round(r.score, 6)) for r in retrieve.lexical(asked, items, 3, "id", "norm", "item", "keywords", "examples").collect()}
+    near = round(SequenceMatcher(None, "show cpu load", "show cpu loads").ratio(), 6)
+    assert [got[1, r] for r in (1, 2, 3)] == [("a", 1.0), ("b", 1.0), ("c", near)] and got[2, 1] == ("c", 1.0) and got[3, 1] == ("a", 0.0)
+    same = {(r.id, r.item) for r in retrieve.lexical(asked, items, 9, "id", "norm", "item", "keywords", "examples", "scene").collect()}
+    assert same == {(q, i) for q in (1, 3) for i in "abd"} | {(2, "c")}
+    none = retrieve.no_hits(asked, "id", "item")
+    assert none.count() == 0 and none.columns == ["id", "item", "score", "rank"]
+
+
+def test_resolvers(spark):
+    df = spark.createDataFrame([("北京 10.0.0.1 OLT-01 上海",), ("none",), (None,)], "t string")
+    words = [(["核心路由器r1", " r1 "], "dev_r1", "R1", 0.85), (["olt-01"], "dev_olt_01", "OLT-01", 0.84)]
+    regions = {"北京": ("region_bj", "北京"), "广州": ("region_gz", "广州"), "上海": ("region_sh", "上海")}
+    a, b, c = df.select(retrieve.resolve_devices(F.col("t"), words).alias("d"), retrieve.resolve_regions(F.col("t"), regions).alias("r")).collect()
+    assert [tuple(x) for x in a.d] == [("dev_10_0_0_1", "设备10.0.0.1", 0.9), ("dev_olt_01", "OLT-01", 0.84)]
+    assert [tuple(x) for x in a.r] == [("region_bj", "北京", 0.88), ("region_sh", "上海", 0.88)] and not (b.d or b.r or c.d or c.r)

@@ -93,6 +93,42 @@ def skeleton(text: str, table: dict[int, str], width: dict[int, str]) -> str:
     return unicodedata.normalize("NFD", shown.translate(table))
 
 
+_WHOLE = "\uffff"
+#: Vowels and finals of Hangul, which compose with what stands before them.
+_JOINING = range(0x1160, 0x1200)
+
+
+class _PerCharacter(dict):
+    """For str.translate: function of each single character, found once; _WHOLE where neighbours have a say."""
+
+    def __init__(self, function) -> None:
+        super().__init__()
+        self.function = function
+
+    def __missing__(self, cp: int) -> str:
+        c = chr(cp)
+        parts = unicodedata.normalize("NFD", c)
+        value = self.function(c)
+        seen = parts[0] + unicodedata.normalize("NFD", value)[:1]
+        alone = not any(unicodedata.combining(x) or unicodedata.category(x)[0] == "M" or ord(x) in _JOINING for x in seen) and not any(_invisible(ord(x)) for x in parts)
+        self[cp] = value = value if alone and c != _WHOLE and _WHOLE not in value else _WHOLE
+        return value
+
+
+_BY_CHARACTER: dict[str, _PerCharacter] = {}
+
+
+def _fast(name: str, function):
+    """function(text), put together from its values on single characters where the text has no joining ones. One table of a name for each worker."""
+    table = _BY_CHARACTER.setdefault(name, _PerCharacter(function))
+
+    def run(text: str) -> str:
+        out = text.translate(table)
+        return function(text) if _WHOLE in out else out
+
+    return run
+
+
 def _per_distinct(function):
     """Applies function once to each distinct text of a batch; null stays null."""
 
@@ -109,7 +145,7 @@ def skeleton_column(text: Column) -> Column:
 
     @F.pandas_udf(T.StringType())
     def of(texts: pd.Series) -> pd.Series:
-        return _per_distinct(lambda x: skeleton(x, table, width))(texts)
+        return _per_distinct(_fast("skeleton", lambda x: skeleton(x, table, width)))(texts)
 
     return of(text)
 
@@ -137,7 +173,7 @@ def letters_and_digits_column(text: Column) -> Column:
 
     @F.pandas_udf(T.StringType())
     def of(texts: pd.Series) -> pd.Series:
-        return _per_distinct(lambda x: letters_and_digits(x, table, width))(texts)
+        return _per_distinct(_fast("letters_and_digits", lambda x: letters_and_digits(x, table, width)))(texts)
 
     return of(text)
 
@@ -148,7 +184,7 @@ def consistent_texts(df: DataFrame, text: str) -> DataFrame:
 
     @F.pandas_udf(T.StringType())
     def of(texts: pd.Series) -> pd.Series:
-        return _per_distinct(lambda x: unicodedata.normalize("NFC", skeleton(x, table, width)))(texts)
+        return _per_distinct(_fast("consistent", lambda x: unicodedata.normalize("NFC", skeleton(x, table, width))))(texts)
 
     return df.withColumn("consistent", of(F.col(text)))
 

@@ -3,14 +3,22 @@
 Texts are compared by letters and digits, without case and look-alike differences. A pair overlaps if at
 most a tenth of the longer text's characters must be inserted, deleted or replaced.
 
-The bit fingerprint of a text has bits set by hashes of its characters and of its bigrams on either side
-of a block, so that every edit flips at most 2 and 4 bits: texts within k edits that agree in a block lie
-within Hamming radii of 2k and 4k, always. The code of a training text is cut into blocks, the hashes of kmax + 1 disjoint
-segments, kmax being the most edits any partner may need; with k <= kmax edits at least one block stays
-whole (pigeonhole) and stands in the other text at most k places away. Blocks are joined across splits
-with position, length and both Hamming radii tested within the join; what passes is verified by its edit
-distance. No true pair can be lost, and no bucket is capped. The sign-of-sums fingerprint the method is
-usually built on gives no such guarantee: see the README for its measured recall.
+The code of a text is the sequence of its hashed characters; its bit fingerprint sets one bit for each
+character and for each bigram of it, so that an edit flips at most 2 and 4 bits: texts within k edits lie
+within Hamming radii of 2k and 4k, always. The code of a training text is cut into kmax + 1 disjoint
+blocks, kmax being the most edits any partner may need; with k <= kmax edits at least one block stays
+whole (pigeonhole) and stands in the other text at most k places away. Which blocks is free: they are
+chosen by dynamic programming over SIZES, so that they meet as few evaluation texts as can be (rare
+stretches are cut short, common ones long). Blocks are joined across splits, with place, length and both
+Hamming radii tested within the join; what passes is verified by its edit distance. No true pair can be
+lost and no bucket is capped. The sign-of-sums fingerprint that the method is usually built on gives no
+such guarantee, and blocks cut from the bits of the fingerprint itself select nothing at these radii: see
+the README for figures.
+
+Two tables of a fixed size go to the executors: how often the windows of the evaluation texts occur, by
+hash bucket, which only guides the choice of blocks, and a bitmap of the blocks chosen, so that only
+windows that may meet one become rows. Their size is bounded by COUNTERS and BITS; collisions in them
+cost time and never change the result.
 
 Equal texts are one class, so copies are not compared; the result is expanded to records at the end.
 
@@ -20,12 +28,11 @@ characters must be equal; whole texts are used, of any length; repeated records
 
 from __future__ import annotations
 
-import operator
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,194 +41,273 @@ from switchyard.session import materialize
 
 #: Edits allowed are len(longer) // TENTH.
 TENTH = 10
-#: Longest block, in characters.
-BLOCK = 8
-#: Words of 64 bits for the characters and for the bigrams on either side of a block.
-CHAR_WORDS = 3
-BIGRAM_WORDS = 4
-#: Occurrences of one block within a text that are kept as rows of their own.
-REPEATS = 16
-#: Characters of texts of one length that are worked on as one array.
-TOGETHER = 20_000
+#: Lengths that a block may have.
+SIZES = (4, 6, 8, 12, 16, 24)
+#: Hash buckets in which windows are counted, and bits of the map of chosen blocks.
+COUNTERS, BITS = 1 << 20, 1 << 26
+#: Blocks that are chosen together; longer texts are cut at even places first.
+TOGETHER = 8
+#: Words of 64 bits: for characters, for bigrams.
+WORDS = ("chars", "pairs_a", "pairs_b")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_ODD = (np.random.default_rng(7).integers(1, 1 << 62, BLOCK, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+_ODD = (np.random.default_rng(7).integers(1, 1 << 62, max(SIZES), dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
-def most_edits(length: int) -> int:
+def most_edits(length):
     """Most edits that a pair with a text of this length may have: its partner is at most 10/9 as long."""
     return length // (TENTH - 1)
 
 
-def block_length(length: int) -> int:
-    return max(1, min(BLOCK, length // (most_edits(length) + 1)))
-
-
-def _windows(cp: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of all windows of a size; texts of one length are the rows of cp."""
-    n = cp.shape[1] - size + 1
-    h = np.full((len(cp), n), size, dtype=np.uint64)
-    for j in range(size):
-        h += cp[:, j : j + n] * _ODD[j]
-    h ^= h >> np.uint64(29)
-    h *= _MIX
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * _MIX
     return h ^ (h >> np.uint64(32))
 
 
-def _one_hot(values: np.ndarray, words: int) -> np.ndarray:
-    """Words for each value, with the bit of its hash set."""
-    bit = ((values * _MIX) >> np.uint64(40)) % np.uint64(64 * words)
-    one = np.uint64(1) << (bit & np.uint64(63))
-    return np.where((bit >> np.uint64(6))[..., None] == np.arange(words, dtype=np.uint64), one[..., None], np.uint64(0))
-
-
-def _nth(cp: np.ndarray) -> np.ndarray:
-    """Which occurrence of its character within the text each place holds, from 0."""
-    order = np.argsort(cp, axis=1, kind="stable")
-    ranked, places = np.take_along_axis(cp, order, 1), np.arange(cp.shape[1])
-    first = np.ones(cp.shape, dtype=bool)
-    first[:, 1:] = ranked[:, 1:] != ranked[:, :-1]
-    out = np.empty(cp.shape, dtype=np.uint64)
-    np.put_along_axis(out, order, (places - np.maximum.accumulate(np.where(first, places, 0), axis=1)).astype(np.uint64), 1)
+class Codes:
+    """The texts of a batch as one array of code points, with the hashes of all their windows."""
+
+    def __init__(self, texts: list[str]) -> None:
+        self.length = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        self.start = np.concatenate([[0], np.cumsum(self.length)])
+        self.cp = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+        self.owner = np.repeat(np.arange(len(texts)), self.length)
+        self.place = np.arange(len(self.cp)) - self.start[:-1][self.owner]
+        self.left = self.length[self.owner] - self.place  # characters from here to the end of the text
+
+    def windows(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Size and, for each place, the hash of the window that begins there (of no meaning where left < size)."""
+        h = np.zeros(len(self.cp), dtype=np.uint64)
+        for j in range(max(SIZES)):
+            h[: len(h) - j] += self.cp[j:] * _ODD[j]
+            if j + 1 in SIZES:
+                yield j + 1, _mixed(h + np.uint64(j + 1))
+
+    def words(self) -> np.ndarray:
+        """For each text, its fingerprint in WORDS."""
+        out = np.zeros((len(self.length), len(WORDS)), dtype=np.uint64)
+        some = self.length > 0
+        if not some.any():
+            return out
+        at, one = self.start[:-1][some], np.uint64(1)
+        out[some, 0] = np.bitwise_or.reduceat(one << (_mixed(self.cp * _ODD[0]) & np.uint64(63)), at)
+        pair = np.zeros(len(self.cp), dtype=np.uint64)
+        pair[:-1] = _mixed(self.cp[:-1] * _ODD[1] + self.cp[1:])
+        bit = np.where(self.left > 1, one << (pair & np.uint64(63)), np.uint64(0))
+        second = (pair >> np.uint64(6)) & one == one
+        out[some, 1] = np.bitwise_or.reduceat(np.where(second, np.uint64(0), bit), at)
+        out[some, 2] = np.bitwise_or.reduceat(np.where(second, bit, np.uint64(0)), at)
+        return out
+
+
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    return (h & np.uint64(buckets - 1)).astype(np.int64)
+
+
+def window_counts(texts: list[str], counters: int = COUNTERS) -> np.ndarray:
+    codes, out = Codes(texts), np.zeros(counters, dtype=np.int64)
+    for size, h in codes.windows():
+        out += np.bincount(_bucket(h[codes.left >= size], counters), minlength=counters)
     return out
 
 
-def _sides(forward: np.ndarray, backward: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bits of the first i values of each text, for every i, and of the values from i on."""
-    zero = np.zeros((len(forward), 1, words), dtype=np.uint64)
-    left = np.bitwise_or.accumulate(_one_hot(forward, words), axis=1)
-    right = np.bitwise_or.accumulate(_one_hot(backward, words)[:, ::-1], axis=1)[:, ::-1]
-    return np.concatenate([zero, left], axis=1), np.concatenate([right, zero], axis=1)
-
+def _stretches(length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, begin, length and number of blocks of the stretches, of up to TOGETHER blocks, that texts are cut into."""
+    blocks = most_edits(length) + 1
+    parts = -(-blocks // TOGETHER)
+    text = np.repeat(np.arange(len(length)), parts)
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
+    first, last = blocks[text] * nth // parts[text], blocks[text] * (nth + 1) // parts[text]
+    begin, end = length[text] * first // blocks[text], length[text] * last // blocks[text]
+    return text, begin, end - begin, last - first
 
-def side_bits(cp: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """For each text (row of cp) and block, the words of the block's left and right side: CHAR_WORDS each of
-    characters (with which of its occurrences it is, counted from the outer end), of which an edit flips 2 at
-    most, then BIGRAM_WORDS each of bigrams, of which an edit flips 4 at most."""
-    turn = np.uint64(0x1F123BB5)
-    char_left, char_right = _sides(cp * turn + _nth(cp), cp * turn + _nth(cp[:, ::-1])[:, ::-1], CHAR_WORDS)
-    pairs = cp[:, :-1] * turn + cp[:, 1:]
-    pair_left, pair_right = _sides(pairs, pairs, BIGRAM_WORDS)
-    after = at + sizes
-    return np.concatenate([char_left[:, at], char_right[:, after], pair_left[:, np.maximum(at - 1, 0)], pair_right[:, np.minimum(after, pairs.shape[1])]], axis=2)
 
+def chosen_blocks(codes: Codes, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, place and hash of the kmax + 1 disjoint blocks of each text (of 9 characters or more) that meet the fewest windows.
 
-def code_points(texts: list[str]) -> np.ndarray:
-    """One row of code points for each text; all of one length."""
-    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64).reshape(len(texts), -1)
-
+    best[j, p] is the least sum of counts of j blocks within the first p characters of a stretch.
+    """
+    hashes = dict(codes.windows())
+    cost = {s: counts[_bucket(h, len(counts))].astype(np.float64) for s, h in hashes.items()}
+    text, begin, size, number = _stretches(codes.length)
+    at = codes.start[:-1][text] + begin
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for m in np.unique(number):
+        rows = np.flatnonzero(number == m)
+        width = int(size[rows].max())
+        places = np.arange(width)
+        flat = np.minimum(at[rows, None] + places, len(codes.cp) - 1)
+        fits = size[rows, None] - places
+        price = {s: np.where(fits >= s, cost[s][flat], np.inf) for s in SIZES if s <= width}
+        best = np.zeros((len(rows), width + 1))
+        choice, reach = [], []
+        for _ in range(m):
+            found, used = np.full((len(rows), width + 1), np.inf), np.zeros((len(rows), width + 1), dtype=np.int64)
+            for s, p in price.items():
+                value = best[:, : width + 1 - s] + p[:, : width + 1 - s]
+                better = value < found[:, s:]
+                found[:, s:] = np.where(better, value, found[:, s:])
+                used[:, s:] = np.where(better, s, used[:, s:])
+            best = np.minimum.accumulate(found, axis=1)
+            fresh = np.ones(found.shape, dtype=bool)
+            fresh[:, 1:] = best[:, 1:] < best[:, :-1]
+            choice.append(used)
+            reach.append(np.maximum.accumulate(np.where(fresh, np.arange(width + 1), 0), axis=1))
+        end, line = np.full(len(rows), width), np.arange(len(rows))
+        for used, to in zip(reversed(choice), reversed(reach)):
+            end = to[line, end]
+            s = used[line, end]
+            end = end - s
+            where = at[rows] + end
+            h = np.zeros(len(rows), dtype=np.uint64)
+            for k in np.unique(s):
+                h[s == k] = hashes[k][where[s == k]]
+            out.append((text[rows], where, h))
+    owner, where, h = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0, dtype=np.uint64),)
+    return owner, codes.place[where], h
+
+
+def met_windows(codes: Codes, bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, place and hash of the windows whose bit is set."""
+    out = []
+    for size, h in codes.windows():
+        bit = h & np.uint64(8 * len(bitmap) - 1)
+        hit = (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1
+        at = np.flatnonzero((hit == 1) & (codes.left >= size))
+        out.append((codes.owner[at], codes.place[at], h[at]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+_SCHEMA = "rep bigint, block bigint, lo int, hi int, len int, " + ", ".join(f"{w} bigint" for w in WORDS)
+
+
+def _rows(reps: np.ndarray, codes: Codes, owner: np.ndarray, place: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+    """Rows of _SCHEMA. A block that occurs repeatedly in its text is one row for the range of its places."""
+    order = np.lexsort((place, h, owner))
+    owner, place, h = owner[order], place[order], h[order]
+    first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]) if len(h) else np.zeros(0, dtype=np.int64)
+    last = np.r_[first[1:], len(h)] - 1 if len(first) else first
+    of, words = owner[first], codes.words()
+    columns = [reps[of], h[first].view(np.int64), place[first].astype(np.int32), place[last].astype(np.int32), codes.length[of].astype(np.int32), *(words[of, i].view(np.int64) for i in range(len(WORDS)))]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["rep", "block", "lo", "hi", "len", *WORDS])
+
+
+#: Characters that are worked on as one array; a longer text is one by itself.
+_AT_ONCE = 250_000
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[str]]]:
+    for batch in batches:
+        reps, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+        part = np.cumsum([len(t) for t in texts]) // _AT_ONCE
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+        for i, j in zip(cuts, cuts[1:]):
+            if i < j:
+                yield reps[i:j], texts[i:j]
+
+
+def _indexed(counts: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(counts.value, dtype=np.float32)
+        for reps, texts in _batches(batches):
+            codes = Codes(texts)
+            yield _rows(reps, codes, *chosen_blocks(codes, table))
 
-def indexed_blocks(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, place and length of the kmax + 1 disjoint blocks of each text."""
-    n = cp.shape[1]
-    size = block_length(n)
-    at = np.arange(most_edits(n) + 1) * size
-    return _windows(cp, size)[:, at], at, np.full(len(at), size)
+    return run
 
 
-def sought_blocks(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, place and length of every window that a partner's block may stand at, for all lengths of its blocks."""
-    n = cp.shape[1]
-    least, most = n - n // TENTH, n + most_edits(n) + 1
-    sizes = {BLOCK} if least >= BLOCK * (TENTH - 1) else {block_length(x) for x in range(max(1, least), most + 1)}
-    parts = [(s, _windows(cp, s)) for s in sorted(sizes) if s <= n]
-    return np.concatenate([p for _, p in parts], axis=1), np.concatenate([np.arange(p.shape[1]) for _, p in parts]), np.concatenate([np.full(p.shape[1], s) for s, p in parts])
+def _sought(bitmap: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(bitmap.value, dtype=np.uint8)
+        for reps, texts in _batches(batches):
+            codes = Codes(texts)
+            yield _rows(reps, codes, *met_windows(codes, bits))
 
+    return run
 
-_WORDS = [f"c{i}" for i in range(2 * CHAR_WORDS)] + [f"b{i}" for i in range(2 * BIGRAM_WORDS)]
-_SCHEMA = "rep string, block bigint, lo int, hi int, len int, " + ", ".join(f"{w} bigint" for w in _WORDS)
 
+_SLICE = 1 << 14
 
-def block_rows(cp: np.ndarray, blocks) -> tuple[np.ndarray, ...]:
-    """Arrays text, block, lo, hi, len and the words of all blocks of texts of one length.
 
-    A block that occurs more than REPEATS times in its text becomes one row for its range of places. It has
-    no sides, which is told by lo < hi, and is tested without them.
-    """
-    h, at, size = blocks(cp)
-    text, place = np.repeat(np.arange(len(cp)), len(at)), np.tile(at, len(cp))
-    words = side_bits(cp, at, size).reshape(len(text), -1)
-    h, hi = h.ravel(), place.copy()
-    ordered = np.sort(h.reshape(len(cp), -1), axis=1)
-    if ordered.shape[1] > REPEATS and (ordered[:, REPEATS:] == ordered[:, :-REPEATS]).any():
-        order = np.lexsort((place, h, text))
-        h, place, text, words, hi = h[order], place[order], text[order], words[order], hi[order]
-        first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (text[1:] != text[:-1])])
-        count = np.diff(np.r_[first, len(h)])
-        many = count > REPEATS
-        keep = np.repeat(~many, count)
-        keep[first[many]] = True
-        hi[first[many]] = place[(first + count - 1)[many]]
-        h, place, text, words, hi = h[keep], place[keep], text[keep], words[keep], hi[keep]
-    return text, h.view(np.int64), place.astype(np.int32), hi.astype(np.int32), np.full(len(h), cp.shape[1], dtype=np.int32), *words.view(np.int64).T
-
-
-def _groups(texts: list[str]) -> Iterator[list[int]]:
-    """Places of texts of one length, of some TOGETHER characters at a time."""
-    of: dict[int, list[int]] = {}
-    for i, t in enumerate(texts):
-        of.setdefault(len(t), []).append(i)
-    for n, places in of.items():
-        step = max(1, TOGETHER // n)
-        for begin in range(0, len(places), step):
-            yield places[begin : begin + step]
-
-
-def _block_rows(blocks):
-    """mapInArrow over (rep, form): the rows of _SCHEMA."""
+def _counted(texts: DataFrame, counters: int) -> bytes:
+    """Windows of the texts by bucket, added up by slices of the table; float32 each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            reps, texts = batch.column(0), batch.column(1).to_pylist()
-            for places in _groups(texts):
-                text, *columns = block_rows(code_points([texts[i] for i in places]), blocks)
-                take = pa.array(np.array(places)[text])
-                yield pa.RecordBatch.from_arrays([reps.take(take).cast(pa.string()), *map(pa.array, columns)], names=["rep", "block", "lo", "hi", "len", *_WORDS])
-
-    return run
-
-
-def near_classes(a: DataFrame, b: DataFrame) -> DataFrame:
-    """a, b: (rep, form) of distinct texts. Gives rep_a, rep_b, edits of all pairs within a tenth."""
-    ra = a.select("rep", "form").mapInArrow(_block_rows(sought_blocks), _SCHEMA).alias("a")
-    rb = b.select("rep", "form").mapInArrow(_block_rows(indexed_blocks), _SCHEMA).alias("b")
+        total = np.zeros(counters, dtype=np.int64)
+        for _, part in _batches(batches):
+            total += window_counts(part, counters)
+        slices = total.reshape(-1, min(_SLICE, counters)).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(slices))), pa.array([s.tobytes() for s in slices], pa.binary())], names=["part", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        whole = np.sum([np.frombuffer(x.as_py(), dtype=np.float32) for x in table.column("counts")], axis=0, dtype=np.float64)
+        return pa.table({"part": table.column("part").slice(0, 1), "counts": pa.array([whole.astype(np.float32).tobytes()], pa.binary())})
+
+    schema = "part bigint, counts binary"
+    parts = texts.select("rep", "form").mapInArrow(run, schema).groupBy("part").applyInArrow(add, schema).collect()  # counters * 4 bytes in all
+    return b"".join(bytes(r.counts) for r in sorted(parts)) if parts else bytes(4 * counters)
+
+
+def _bitmap(blocks: DataFrame, bits: int) -> bytes:
+    """Bits of the blocks, built by Spark in pieces of 4 KB; bits / 8 bytes in all."""
+    # Spark's buckets count from 1: bucket n holds the 32768 values from 32768 (n - 1) + 1 on.
+    at = F.col("block").bitwiseAND(F.lit(bits - 1)) + 1
+    parts = blocks.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("map")).collect()
+    out = bytearray(max(bits // 8, 4096))
+    for r in parts:
+        out[(r.part - 1) * 4096 : r.part * 4096] = r.map
+    return bytes(out)
+
+
+def near_classes(a: DataFrame, b: DataFrame, counters: int = COUNTERS, bits: int = BITS) -> DataFrame:
+    """a, b: (key, rep, form) of distinct texts. Gives key_a, key_b, edits of all pairs of different texts within a tenth."""
+    context = a.sparkSession.sparkContext
+    a, b = (x.where(F.length("form") >= TENTH - 1) for x in (a, b))
+    counts = context.broadcast(_counted(a, counters))
+    rb = materialize(b.select("rep", "form").mapInArrow(_indexed(counts), _SCHEMA))
+    bitmap = context.broadcast(_bitmap(rb, bits))
+    ra = a.select("rep", "form").mapInArrow(_sought(bitmap), _SCHEMA).alias("a")
+    rb = rb.alias("b")
     k = F.floor(F.greatest("a.len", "b.len") / F.lit(TENTH))
 
-    def flipped(words: list[str]) -> Column:
-        return reduce(operator.add, (F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in words))
+    def flipped(*words: str) -> Column:
+        return sum((F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in words), F.lit(0))
 
-    one_place = (F.col("a.lo") == F.col("a.hi")) & (F.col("b.lo") == F.col("b.hi"))
     close = (
         (F.col("a.block") == F.col("b.block"))
         & (F.abs(F.col("a.len") - F.col("b.len")) <= k)
         & (F.col("a.lo") - F.col("b.hi") <= k)
         & (F.col("b.lo") - F.col("a.hi") <= k)
-        & (~one_place | ((flipped(_WORDS[: 2 * CHAR_WORDS]) <= 2 * k) & (flipped(_WORDS[2 * CHAR_WORDS :]) <= 4 * k)))
+        & (flipped(WORDS[0]) <= 2 * k)
+        & (flipped(*WORDS[1:]) <= 4 * k)
     )
     # The rows made here are many more than the plan's estimate for them, so no side may be sent whole.
     met = ra.join(rb.hint("merge"), close).select(F.col("a.rep").alias("rep_a"), F.col("b.rep").alias("rep_b")).distinct()
-    texts = met.join(a.select(F.col("rep").alias("rep_a"), F.col("form").alias("fa")), "rep_a").join(b.select(F.col("rep").alias("rep_b"), F.col("form").alias("fb")), "rep_b")
-    limit = F.floor(F.greatest(F.length("fa"), F.length("fb")) / F.lit(TENTH)).cast("int")
-    return texts.withColumn("k", limit).withColumn("edits", F.expr("levenshtein(fa, fb, k)")).where("edits >= 0").select("rep_a", "rep_b", "edits")
+    named = lambda x, s: x.select(F.col("rep").alias(f"rep_{s}"), F.col("key").alias(f"key_{s}"), F.col("form").alias(f"form_{s}"))
+    texts = met.join(named(a, "a"), "rep_a").join(named(b, "b"), "rep_b").where("key_a <> key_b")
+    limit = F.floor(F.greatest(F.length("form_a"), F.length("form_b")) / F.lit(TENTH)).cast("int")
+    return texts.withColumn("k", limit).withColumn("edits", F.expr("levenshtein(form_a, form_b, k)")).where("edits >= 0").select("key_a", "key_b", "edits")
 
 
 def _forms(records: DataFrame) -> DataFrame:
-    """records (id, text, ...) with `form`, written once; null and blank ones left out."""
+    """records (id, text, ...) with `form` and its 128-bit key, written once; null and blank ones left out."""
     named = records.where(F.col("text").isNotNull() & F.col("id").isNotNull()).withColumn("id", F.col("id").cast("string"))
-    return materialize(named.withColumn("form", letters_and_digits_column(F.col("text"))).drop("text").where("form <> ''"))
+    formed = named.withColumn("form", letters_and_digits_column(F.col("text"))).drop("text").where("form <> ''")
+    return materialize(formed.withColumn("key", F.unhex(F.md5("form"))))
+
+
+def _classes(forms: DataFrame) -> DataFrame:
+    """key, form and a number `rep` of each distinct text, written once."""
+    return materialize(forms.groupBy("key").agg(F.min("form").alias("form")).withColumn("rep", F.monotonically_increasing_id()))
 
 
 def overlaps(evals: DataFrame, trains: DataFrame) -> DataFrame:
     """All overlapping pairs: the columns of evals (id, text, ...) as eval_*, those of trains as intent_*, and edits."""
     e, t = _forms(evals), _forms(trains)
-    ec = materialize(e.groupBy("form").agg(F.min("id").alias("rep")))
-    tc = materialize(t.groupBy("form").agg(F.min("id").alias("rep")))
-    links = near_classes(ec, tc)
-    key = lambda df: df.withColumn("form", F.unhex(F.md5("form")))
-    em, tm = (
-        key(x).join(key(c), "form").drop("form").withColumnsRenamed({c: f"{side}_{c}" for c in x.columns if c != "form"}).withColumnRenamed("rep", rep)
-        for x, c, side, rep in ((e, ec, "eval", "rep_a"), (t, tc, "intent", "rep_b"))
-    )
-    return links.join(em, "rep_a").join(tm, "rep_b").drop("rep_a", "rep_b")
+    ec, tc = _classes(e), _classes(t)
+    same = ec.select("key").join(tc.select("key"), "key").select(F.col("key").alias("key_a"), F.col("key").alias("key_b"), F.lit(0).alias("edits"))
+    links = near_classes(ec, tc).unionByName(same)
+    em, tm = (x.drop("form").withColumnsRenamed({c: f"{side}_{c}" for c in x.columns if c not in ("form", "key")}).withColumnRenamed("key", key) for x, side, key in ((e, "eval", "key_a"), (t, "intent", "key_b")))
+    return links.join(em, "key_a").join(tm, "key_b").drop("key_a", "key_b")
 
 
 def overlap_report(evals: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -44,3 +44,18 @@ def test_hot_form_is_not_compared_with_itself(spark):
     df = spark.range(3000).selectExpr("concat('r', lpad(id, 5, '0')) id", "if(id = 7, 'hоt', 'hot') text")
     got = C.look_alike_pairs(df, "id", "text")
     assert got.count() == 2999
+
+
+def test_character_tables_agree_with_whole_texts(spark):
+    """The fast way gives what the functions on whole texts give, joining characters or not."""
+    import random
+    import unicodedata
+
+    rng = random.Random(3)
+    pool = [c for c in range(1, 0x30000) if not 0xD800 <= c <= 0xDFFF and unicodedata.category(chr(c)) != "Cn"]
+    joining = [c for c in pool if unicodedata.category(chr(c))[0] == "M"] + list(range(0x1100, 0x1200))
+    texts = ["".join(chr(rng.choice(joining if rng.random() < 0.2 else pool)) for _ in range(rng.randint(0, 6))) for _ in range(20_000)]
+    width, table, letters = C._width_table(), C.look_alikes(), C.case_keeping()
+    for name, f in (("test skeleton", lambda t: C.skeleton(t, table, width)), ("test letters", lambda t: C.letters_and_digits(t, letters, width))):
+        fast = C._fast(name, f)
+        assert [fast(t) for t in texts] == [f(t) for t in texts]

@@ -1,7 +1,5 @@
 import random
 
-import numpy as np
-
 from switchyard.llm import overlap as O
 
 
@@ -64,11 +62,31 @@ def test_fingerprints_keep_within_their_radius():
         a = "".join(rng.choice("abcdefgh12345") for _ in range(n))
         for k in (1, 3, n // 10):
             b = edited(rng, a, k)
-            side = lambda t: O.side_bits(O.code_points([t]), np.array([len(t)]), np.array([0]))[0, 0]
-            other = lambda t: O.side_bits(O.code_points([t]), np.array([0]), np.array([0]))[0, 0]
-            for bits in (side, other):
-                flips = [bin(int(x) ^ int(y)).count("1") for x, y in zip(bits(a), bits(b))]
-                assert sum(flips[: 2 * O.CHAR_WORDS]) <= 2 * k and sum(flips[2 * O.CHAR_WORDS :]) <= 4 * k
+            x, y = O.Codes([a, b]).words()
+            flips = [bin(int(p) ^ int(q)).count("1") for p, q in zip(x, y)]
+            assert flips[0] <= 2 * k and sum(flips[1:]) <= 4 * k
+
+
+def test_blocks_are_disjoint_enough_and_cheap():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdefgh12345") for _ in range(n)) for n in (9, 10, 17, 18, 40, 71, 72, 80, 300, 1300)] + ["a" * 500]
+    counts = O.window_counts([t + "common part of all" for t in texts], 1 << 16).astype(float)
+    codes = O.Codes(texts)
+    sizes = {(int(i), int(h)): s for s, hs in codes.windows() for i, h in enumerate(hs)}
+    owner, place, h = O.chosen_blocks(codes, counts)
+    for i, t in enumerate(texts):
+        at = sorted((int(p), sizes[int(codes.start[i] + p), int(x)]) for p, x in zip(place[owner == i], h[owner == i]))
+        assert len(at) == O.most_edits(len(t)) + 1
+        assert all(p + s <= q for (p, s), (q, _) in zip(at, at[1:])) and at[-1][0] + at[-1][1] <= len(t)
+
+
+def test_tables_of_any_size_give_the_same(spark):
+    """Collisions in the two tables cost time only."""
+    evals, trains = corpus()
+    frame = lambda ts: O._classes(O._forms(spark.createDataFrame([(str(i), t) for i, t in enumerate(ts)], "id string, text string")))
+    a, b = frame(evals), frame(trains)
+    some = {tuple(map(bytes, r[:2])) for r in O.near_classes(a, b).collect()}
+    assert some and some == {tuple(map(bytes, r[:2])) for r in O.near_classes(a, b, counters=64, bits=1 << 15).collect()}
 
 
 def test_long_texts(spark):

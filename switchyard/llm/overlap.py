@@ -3,22 +3,22 @@
 Texts are compared by letters and digits, without case and look-alike differences. A pair overlaps if at
 most a tenth of the longer text's characters must be inserted, deleted or replaced.
 
-The code of a text is the sequence of its hashed characters; its bit fingerprint sets one bit for each
-character and for each bigram of it, so that an edit flips at most 2 and 4 bits: texts within k edits lie
-within Hamming radii of 2k and 4k, always. The code of a training text is cut into kmax + 1 disjoint
+The code of a text is the sequence of its hashed characters; its bit fingerprint sets a bit for each bigram
+on either side of a block, so that an edit flips at most 4 bits: texts within k edits that agree in a block
+lie within a Hamming radius of 4k, always. The code of a training text is cut into kmax + 1 disjoint
 blocks, kmax being the most edits any partner may need; with k <= kmax edits at least one block stays
 whole (pigeonhole) and stands in the other text at most k places away. Which blocks is free: they are
 chosen by dynamic programming over SIZES, so that they meet as few evaluation texts as can be (rare
-stretches are cut short, common ones long). Blocks are joined across splits, with place, length and both
-Hamming radii tested within the join; what passes is verified by its edit distance. No true pair can be
+stretches are cut short, common ones long). Blocks are joined across splits, with place, length and the
+Hamming radius tested within the join; what passes is verified by its edit distance. No true pair can be
 lost and no bucket is capped. The sign-of-sums fingerprint that the method is usually built on gives no
 such guarantee, and blocks cut from the bits of the fingerprint itself select nothing at these radii: see
 the README for figures.
 
-Two tables of a fixed size go to the executors: how often the windows of the evaluation texts occur, by
-hash bucket, which only guides the choice of blocks, and a bitmap of the blocks chosen, so that only
-windows that may meet one become rows. Their size is bounded by COUNTERS and BITS; collisions in them
-cost time and never change the result.
+Three tables of a fixed size go to the executors: how often the windows of the evaluation texts occur, by
+hash bucket, which only guides the choice of blocks; a bitmap of the blocks chosen, so that only windows
+that may meet one become rows; and one of these windows, for the blocks. Their size is bounded by COUNTERS
+and BITS; collisions in them cost time and never change the result.
 
 Equal texts are one class, so copies are not compared; the result is expanded to records at the end.
 
@@ -47,8 +47,9 @@ SIZES = (4, 6, 8, 12, 16, 24)
 COUNTERS, BITS = 1 << 20, 1 << 26
 #: Blocks that are chosen together; longer texts are cut at even places first.
 TOGETHER = 8
-#: Words of 64 bits: for characters, for bigrams.
-WORDS = ("chars", "pairs_a", "pairs_b")
+#: Words of 64 bits on either side of a block, and their columns.
+SIDE_WORDS = 4
+WORDS = tuple(f"w{i}" for i in range(2 * SIDE_WORDS))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _ODD = (np.random.default_rng(7).integers(1, 1 << 62, max(SIZES), dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
@@ -82,21 +83,25 @@ class Codes:
             if j + 1 in SIZES:
                 yield j + 1, _mixed(h + np.uint64(j + 1))
 
-    def words(self) -> np.ndarray:
-        """For each text, its fingerprint in WORDS."""
-        out = np.zeros((len(self.length), len(WORDS)), dtype=np.uint64)
-        some = self.length > 0
-        if not some.any():
-            return out
-        at, one = self.start[:-1][some], np.uint64(1)
-        out[some, 0] = np.bitwise_or.reduceat(one << (_mixed(self.cp * _ODD[0]) & np.uint64(63)), at)
-        pair = np.zeros(len(self.cp), dtype=np.uint64)
-        pair[:-1] = _mixed(self.cp[:-1] * _ODD[1] + self.cp[1:])
-        bit = np.where(self.left > 1, one << (pair & np.uint64(63)), np.uint64(0))
-        second = (pair >> np.uint64(6)) & one == one
-        out[some, 1] = np.bitwise_or.reduceat(np.where(second, np.uint64(0), bit), at)
-        out[some, 2] = np.bitwise_or.reduceat(np.where(second, bit, np.uint64(0)), at)
-        return out
+    def sides(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """For blocks from begin to end in the array, in order of begin, the words of the two sides of their text."""
+        owner = self.owner[begin]
+        a, z = self.start[:-1][owner], self.start[1:][owner]
+        pairs = _one_hot(_mixed(self.cp * _ODD[1] + np.r_[self.cp[1:], np.zeros(1, dtype=np.uint64)]), SIDE_WORDS)
+        return np.stack([*(_ored(w, a, begin - 1) for w in pairs), *(_ored(w, end, z - 1) for w in pairs)], axis=1)
+
+
+def _one_hot(h: np.ndarray, words: int) -> list[np.ndarray]:
+    """The bit of each hash, in the word that it falls into."""
+    bit, word = np.uint64(1) << (h & np.uint64(63)), (h >> np.uint64(6)) % np.uint64(words)
+    return [np.where(word == np.uint64(w), bit, np.uint64(0)) for w in range(words)]
+
+
+def _ored(words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Bits of words[begin:end] together, for each range; none where it is empty."""
+    padded, some = np.r_[words, np.zeros(1, dtype=np.uint64)], end > begin
+    got = np.bitwise_or.reduceat(padded, np.stack([begin, np.maximum(begin, end)], axis=1).ravel())[::2] if len(begin) else np.zeros(0, dtype=np.uint64)
+    return np.where(some, got, np.uint64(0))
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -121,8 +126,8 @@ def _stretches(length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return text, begin, end - begin, last - first
 
 
-def chosen_blocks(codes: Codes, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, place and hash of the kmax + 1 disjoint blocks of each text (of 9 characters or more) that meet the fewest windows.
+def chosen_blocks(codes: Codes, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Text, place, hash and size of the kmax + 1 disjoint blocks of each text (of 9 characters or more) that meet the fewest windows.
 
     best[j, p] is the least sum of counts of j blocks within the first p characters of a stretch.
     """
@@ -130,7 +135,7 @@ def chosen_blocks(codes: Codes, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     cost = {s: counts[_bucket(h, len(counts))].astype(np.float64) for s, h in hashes.items()}
     text, begin, size, number = _stretches(codes.length)
     at = codes.start[:-1][text] + begin
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    out: list[tuple[np.ndarray, ...]] = []
     for m in np.unique(number):
         rows = np.flatnonzero(number == m)
         width = int(size[rows].max())
@@ -161,33 +166,39 @@ def chosen_blocks(codes: Codes, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
             h = np.zeros(len(rows), dtype=np.uint64)
             for k in np.unique(s):
                 h[s == k] = hashes[k][where[s == k]]
-            out.append((text[rows], where, h))
-    owner, where, h = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0, dtype=np.uint64),)
-    return owner, codes.place[where], h
+            out.append((text[rows], codes.place[where], h, s))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def met_windows(codes: Codes, bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, place and hash of the windows whose bit is set."""
+def _marked(h: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    bit = h & np.uint64(8 * len(bitmap) - 1)
+    return (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def met_windows(codes: Codes, bitmap: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Text, place, hash and size of the windows whose bit is set."""
     out = []
     for size, h in codes.windows():
-        bit = h & np.uint64(8 * len(bitmap) - 1)
-        hit = (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1
-        at = np.flatnonzero((hit == 1) & (codes.left >= size))
-        out.append((codes.owner[at], codes.place[at], h[at]))
+        at = np.flatnonzero(_marked(h, bitmap) & (codes.left >= size))
+        out.append((codes.owner[at], codes.place[at], h[at], np.full(len(at), size)))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
 _SCHEMA = "rep bigint, block bigint, lo int, hi int, len int, " + ", ".join(f"{w} bigint" for w in WORDS)
 
 
-def _rows(reps: np.ndarray, codes: Codes, owner: np.ndarray, place: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
-    """Rows of _SCHEMA. A block that occurs repeatedly in its text is one row for the range of its places."""
+def _rows(reps: np.ndarray, codes: Codes, owner: np.ndarray, place: np.ndarray, h: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+    """Rows of _SCHEMA. A block that occurs repeatedly in its text is one row for the range of its places; it
+    has no sides, which is told by lo < hi, and is tested without them."""
     order = np.lexsort((place, h, owner))
-    owner, place, h = owner[order], place[order], h[order]
+    owner, place, h, size = owner[order], place[order], h[order], size[order]
     first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]) if len(h) else np.zeros(0, dtype=np.int64)
     last = np.r_[first[1:], len(h)] - 1 if len(first) else first
-    of, words = owner[first], codes.words()
-    columns = [reps[of], h[first].view(np.int64), place[first].astype(np.int32), place[last].astype(np.int32), codes.length[of].astype(np.int32), *(words[of, i].view(np.int64) for i in range(len(WORDS)))]
+    order = np.lexsort((place[first], owner[first]))
+    first, last = first[order], last[order]
+    of, begin = owner[first], codes.start[:-1][owner[first]] + place[first]
+    words = codes.sides(begin, begin + size[first])
+    columns = [reps[of], h[first].view(np.int64), place[first].astype(np.int32), place[last].astype(np.int32), codes.length[of].astype(np.int32), *words.view(np.int64).T]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["rep", "block", "lo", "hi", "len", *WORDS])
 
 
@@ -205,24 +216,70 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, li
                 yield reps[i:j], texts[i:j]
 
 
-def _indexed(counts: Broadcast):
+_BLOCK = np.dtype([("hash", "<u8"), ("place", "<i4"), ("size", "u1")])
+
+
+def with_blocks(classes: DataFrame, counts: Broadcast) -> DataFrame:
+    """classes (key, rep, form) with `blocks`: those chosen of each text, as _BLOCK in binary; none for texts below 9 characters."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(counts.value, dtype=np.float32)
-        for reps, texts in _batches(batches):
-            codes = Codes(texts)
-            yield _rows(reps, codes, *chosen_blocks(codes, table))
+        for batch in batches:
+            out = [b""] * batch.num_rows
+            for rows, texts in _batches([pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(2)], names=["row", "form"])]):
+                long = [i for i, t in enumerate(texts) if len(t) >= TENTH - 1]
+                if not long:
+                    continue
+                owner, place, h, size = chosen_blocks(Codes([texts[i] for i in long]), table)
+                order = np.argsort(owner, kind="stable")
+                packed = np.empty(len(owner), dtype=_BLOCK)
+                packed["hash"], packed["place"], packed["size"] = h[order], place[order], size[order]
+                cuts = np.searchsorted(owner[order], np.arange(len(long) + 1))
+                for n, i in enumerate(long):
+                    out[rows[i]] = packed[cuts[n] : cuts[n + 1]].tobytes()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=["key", "rep", "form", "blocks"])
+
+    return classes.select("key", "rep", "form").mapInArrow(run, "key binary, rep bigint, form string, blocks binary")
+
+
+def _block_hashes(b: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=_BLOCK)["hash"]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(hashes).view(np.int64))], names=["block"])
+
+    return b.select("blocks").mapInArrow(run, "block bigint")
+
 
-    return run
+def _indexed(b: DataFrame, sought: Broadcast) -> DataFrame:
+    """Rows of _SCHEMA of the blocks that some window may meet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(sought.value, dtype=np.uint8)
+        for batch in batches:
+            packs = batch.column(2).to_pylist()
+            for rows, texts in _batches([pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(1)], names=["row", "form"])]):
+                mine = [packs[i] for i in rows]
+                packed = np.frombuffer(b"".join(mine), dtype=_BLOCK)
+                owner = np.repeat(np.arange(len(mine)), [len(x) // _BLOCK.itemsize for x in mine])
+                keep = _marked(packed["hash"], bits)
+                packed, owner = packed[keep], owner[keep]
+                yield _rows(batch.column(0).to_numpy(zero_copy_only=False)[rows], Codes(texts), owner, packed["place"].astype(np.int64), np.ascontiguousarray(packed["hash"]), packed["size"].astype(np.int64))
+
+    return b.select("rep", "form", "blocks").mapInArrow(run, _SCHEMA)
 
 
-def _sought(bitmap: Broadcast):
+def _sought(a: DataFrame, blocks: Broadcast, hashes_only: bool = False) -> DataFrame:
+    """Rows of _SCHEMA of the windows that may meet a block, or their hashes alone."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(bitmap.value, dtype=np.uint8)
+        bits = np.frombuffer(blocks.value, dtype=np.uint8)
         for reps, texts in _batches(batches):
             codes = Codes(texts)
-            yield _rows(reps, codes, *met_windows(codes, bits))
+            met = met_windows(codes, bits)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(met[2]).view(np.int64))], names=["block"]) if hashes_only else _rows(reps, codes, *met)
 
-    return run
+    return a.select("rep", "form").mapInArrow(run, "block bigint" if hashes_only else _SCHEMA)
 
 
 _SLICE = 1 << 14
@@ -258,34 +315,32 @@ def _bitmap(blocks: DataFrame, bits: int) -> bytes:
     return bytes(out)
 
 
-def near_classes(a: DataFrame, b: DataFrame, counters: int = COUNTERS, bits: int = BITS) -> DataFrame:
-    """a, b: (key, rep, form) of distinct texts. Gives key_a, key_b, edits of all pairs of different texts within a tenth."""
+def near_classes(a: DataFrame, b: DataFrame, counters: int = COUNTERS, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+    """a, b: (key, rep, form) of distinct texts, a written. Gives key_a, key_b, edits of all pairs of different texts within a tenth, and b as written."""
     context = a.sparkSession.sparkContext
-    a, b = (x.where(F.length("form") >= TENTH - 1) for x in (a, b))
-    counts = context.broadcast(_counted(a, counters))
-    rb = materialize(b.select("rep", "form").mapInArrow(_indexed(counts), _SCHEMA))
-    bitmap = context.broadcast(_bitmap(rb, bits))
-    ra = a.select("rep", "form").mapInArrow(_sought(bitmap), _SCHEMA).alias("a")
-    rb = rb.alias("b")
+    a = a.where(F.length("form") >= TENTH - 1)
+    b = written = materialize(with_blocks(b, context.broadcast(_counted(a, counters))))
+    b = b.where(F.length("form") >= TENTH - 1)
+    blocks = context.broadcast(_bitmap(_block_hashes(b), bits))
+    sought = context.broadcast(_bitmap(_sought(a, blocks, True), bits))
+    ra, rb = _sought(a, blocks).alias("a"), _indexed(b, sought).alias("b")
     k = F.floor(F.greatest("a.len", "b.len") / F.lit(TENTH))
 
-    def flipped(*words: str) -> Column:
-        return sum((F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in words), F.lit(0))
-
+    flipped = sum((F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in WORDS), F.lit(0))
+    one_place = (F.col("a.lo") == F.col("a.hi")) & (F.col("b.lo") == F.col("b.hi"))
     close = (
         (F.col("a.block") == F.col("b.block"))
         & (F.abs(F.col("a.len") - F.col("b.len")) <= k)
         & (F.col("a.lo") - F.col("b.hi") <= k)
         & (F.col("b.lo") - F.col("a.hi") <= k)
-        & (flipped(WORDS[0]) <= 2 * k)
-        & (flipped(*WORDS[1:]) <= 4 * k)
+        & (~one_place | (flipped <= 4 * k))
     )
     # The rows made here are many more than the plan's estimate for them, so no side may be sent whole.
     met = ra.join(rb.hint("merge"), close).select(F.col("a.rep").alias("rep_a"), F.col("b.rep").alias("rep_b")).distinct()
     named = lambda x, s: x.select(F.col("rep").alias(f"rep_{s}"), F.col("key").alias(f"key_{s}"), F.col("form").alias(f"form_{s}"))
     texts = met.join(named(a, "a"), "rep_a").join(named(b, "b"), "rep_b").where("key_a <> key_b")
     limit = F.floor(F.greatest(F.length("form_a"), F.length("form_b")) / F.lit(TENTH)).cast("int")
-    return texts.withColumn("k", limit).withColumn("edits", F.expr("levenshtein(form_a, form_b, k)")).where("edits >= 0").select("key_a", "key_b", "edits")
+    return texts.withColumn("k", limit).withColumn("edits", F.expr("levenshtein(form_a, form_b, k)")).where("edits >= 0").select("key_a", "key_b", "edits"), written
 
 
 def _forms(records: DataFrame) -> DataFrame:
@@ -296,16 +351,17 @@ def _forms(records: DataFrame) -> DataFrame:
 
 
 def _classes(forms: DataFrame) -> DataFrame:
-    """key, form and a number `rep` of each distinct text, written once."""
-    return materialize(forms.groupBy("key").agg(F.min("form").alias("form")).withColumn("rep", F.monotonically_increasing_id()))
+    """key, form and a number `rep`, to be written once, of each distinct text."""
+    return forms.groupBy("key").agg(F.min("form").alias("form")).withColumn("rep", F.monotonically_increasing_id())
 
 
 def overlaps(evals: DataFrame, trains: DataFrame) -> DataFrame:
     """All overlapping pairs: the columns of evals (id, text, ...) as eval_*, those of trains as intent_*, and edits."""
     e, t = _forms(evals), _forms(trains)
-    ec, tc = _classes(e), _classes(t)
+    ec = materialize(_classes(e))
+    links, tc = near_classes(ec, _classes(t))
     same = ec.select("key").join(tc.select("key"), "key").select(F.col("key").alias("key_a"), F.col("key").alias("key_b"), F.lit(0).alias("edits"))
-    links = near_classes(ec, tc).unionByName(same)
+    links = links.unionByName(same)
     em, tm = (x.drop("form").withColumnsRenamed({c: f"{side}_{c}" for c in x.columns if c not in ("form", "key")}).withColumnRenamed("key", key) for x, side, key in ((e, "eval", "key_a"), (t, "intent", "key_b")))
     return links.join(em, "key_a").join(tm, "key_b").drop("key_a", "key_b")
 

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from switchyard.llm import overlap as O
 
 
@@ -62,9 +64,12 @@ def test_fingerprints_keep_within_their_radius():
         a = "".join(rng.choice("abcdefgh12345") for _ in range(n))
         for k in (1, 3, n // 10):
             b = edited(rng, a, k)
-            x, y = O.Codes([a, b]).words()
-            flips = [bin(int(p) ^ int(q)).count("1") for p, q in zip(x, y)]
-            assert flips[0] <= 2 * k and sum(flips[1:]) <= 4 * k
+            codes = O.Codes([a, b])
+            for side in (codes.start[:2], codes.start[1:]):  # an empty block at the begin, then at the end
+                begin = np.minimum(side, codes.start[1:] - 1)
+                x, y = codes.sides(begin, side) if side is codes.start[:2] else codes.sides(begin, begin + 1)
+                flips = [bin(int(p) ^ int(q)).count("1") for p, q in zip(x, y)]
+                assert sum(flips) <= 4 * k + 4
 
 
 def test_blocks_are_disjoint_enough_and_cheap():
@@ -73,7 +78,7 @@ def test_blocks_are_disjoint_enough_and_cheap():
     counts = O.window_counts([t + "common part of all" for t in texts], 1 << 16).astype(float)
     codes = O.Codes(texts)
     sizes = {(int(i), int(h)): s for s, hs in codes.windows() for i, h in enumerate(hs)}
-    owner, place, h = O.chosen_blocks(codes, counts)
+    owner, place, h, _ = O.chosen_blocks(codes, counts)
     for i, t in enumerate(texts):
         at = sorted((int(p), sizes[int(codes.start[i] + p), int(x)]) for p, x in zip(place[owner == i], h[owner == i]))
         assert len(at) == O.most_edits(len(t)) + 1
@@ -83,10 +88,11 @@ def test_blocks_are_disjoint_enough_and_cheap():
 def test_tables_of_any_size_give_the_same(spark):
     """Collisions in the two tables cost time only."""
     evals, trains = corpus()
-    frame = lambda ts: O._classes(O._forms(spark.createDataFrame([(str(i), t) for i, t in enumerate(ts)], "id string, text string")))
+    frame = lambda ts: O.materialize(O._classes(O._forms(spark.createDataFrame([(str(i), t) for i, t in enumerate(ts)], "id string, text string"))))
     a, b = frame(evals), frame(trains)
-    some = {tuple(map(bytes, r[:2])) for r in O.near_classes(a, b).collect()}
-    assert some and some == {tuple(map(bytes, r[:2])) for r in O.near_classes(a, b, counters=64, bits=1 << 15).collect()}
+    pairs = lambda **sizes: {tuple(map(bytes, r[:2])) for r in O.near_classes(a, b, **sizes)[0].collect()}
+    some = pairs()
+    assert some and some == pairs(counters=64, bits=1 << 15)
 
 
 def test_long_texts(spark):

@@ -200,10 +200,10 @@ def look_alike_pairs(records: DataFrame, rec_id: str, text: str) -> DataFrame:
     (distinct texts) of one skeleton are paired first and only then expanded to their records, so copies
     of one form are never compared with each other and the work follows the size of the result.
     """
-    named = records.where(F.col(text).isNotNull() & F.col(rec_id).isNotNull()).select(F.col(rec_id).cast("string").alias("id"), F.col(text).alias("t"))
-    compact = materialize(named.select("id", _hash128(skeleton_column(F.col("t"))).alias("skel"), _hash128(F.col("t")).alias("form")))
+    compact = materialize(_compact(records, rec_id, text))
     forms = compact.select("skel", "form").distinct()
-    shared = forms.groupBy("skel").agg(F.count("*").alias("n")).where("n > 1").select("skel")
+    # Written, so that the join is one of plain exchanges, in which the adaptive plan can split a hot skeleton.
+    shared = materialize(forms.groupBy("skel").agg(F.count("*").alias("n")).where("n > 1").select("skel"))
     forms = forms.join(shared, "skel")
     a, b = forms.alias("a"), forms.alias("b")
     pairs = a.join(b, (F.col("a.skel") == F.col("b.skel")) & (F.col("a.form") < F.col("b.form"))).select(F.col("a.form").alias("fa"), F.col("b.form").alias("fb"))
@@ -213,9 +213,26 @@ def look_alike_pairs(records: DataFrame, rec_id: str, text: str) -> DataFrame:
     return full.select(F.least("ia", "ib").alias("id_lo"), F.greatest("ia", "ib").alias("id_hi"))
 
 
+def _compact(records: DataFrame, rec_id: str, text: str) -> DataFrame:
+    named = records.where(F.col(text).isNotNull() & F.col(rec_id).isNotNull()).select(F.col(rec_id).cast("string").alias("id"), F.col(text).alias("t"))
+    return named.select("id", _hash128(skeleton_column(F.col("t"))).alias("skel"), _hash128(F.col("t")).alias("form"))
+
+
+def _classes(compact: DataFrame) -> DataFrame:
+    forms = compact.groupBy("skel", "form").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    return forms.groupBy("skel").agg(F.min("id").alias("class_id"), F.count("*").alias("n_forms"), F.sum("n").alias("n_records")).where("n_forms > 1")
+
+
 def look_alike_classes(records: DataFrame, rec_id: str, text: str) -> DataFrame:
     """One row per skeleton with several forms: class id (its least record id), number of forms and of records."""
-    named = records.where(F.col(text).isNotNull()).select(F.col(rec_id).cast("string").alias("id"), F.col(text).alias("t"))
-    compact = named.select("id", _hash128(skeleton_column(F.col("t"))).alias("skel"), _hash128(F.col("t")).alias("form"))
-    forms = compact.groupBy("skel", "form").agg(F.count("*").alias("n"), F.min("id").alias("id"))
-    return forms.groupBy("skel").agg(F.min("id").alias("class_id"), F.count("*").alias("n_forms"), F.sum("n").alias("n_records")).where("n_forms > 1").drop("skel")
+    return _classes(_compact(records, rec_id, text)).drop("skel")
+
+
+def look_alike_members(records: DataFrame, rec_id: str, text: str) -> DataFrame:
+    """The pairs in compact form: id and class_id of every record whose text looks like another one, and
+    `n_links`: how many records look the same and are not the same characters."""
+    compact = materialize(_compact(records, rec_id, text))
+    classes = materialize(_classes(compact))
+    own = materialize(compact.groupBy("skel", "form").agg(F.count("*").alias("n_own")).join(classes.select("skel"), "skel", "left_semi"))
+    linked = own.join(classes.select("skel", "class_id", "n_records"), "skel").select("skel", "form", "class_id", (F.col("n_records") - F.col("n_own")).alias("n_links"))
+    return compact.join(materialize(linked), ["skel", "form"]).select("id", "class_id", "n_links")

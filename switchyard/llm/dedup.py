@@ -36,8 +36,6 @@ def _ids(form: bytes) -> tuple[int, int]:
     return tuple(int(x) for x in np.frombuffer(digest, dtype="<i8"))
 
 
-
-
 _JSON_NUMBER = re.compile(r"(-?)(\d+)(?:\.(\d+))?(?:[eE]([+-]?\d+))?")
 
 
@@ -128,10 +126,11 @@ def copies(df: DataFrame, row_id: str, texts: list[str], objects: list[str]) ->
     """row_id_lo, row_id_hi: every copy with the least row id of its group.
 
     The compact tuples are written once. Groups are found by an aggregation that combines before the
-    shuffle, so a hot group costs one row per task; only groups with copies are joined back.
+    shuffle, so a hot group costs one row per task; only groups with copies are joined back. They are
+    written too, so that both sides of the join are plain exchanges and the adaptive plan can split a hot group.
     """
     tuples = materialize(encoded(df, row_id, texts, objects))
-    groups = tuples.groupBy("record").agg(F.min("row_id").alias("row_id_lo"), F.count("*").alias("n")).where("n > 1").drop("n")
+    groups = materialize(tuples.groupBy("record").agg(F.min("row_id").alias("row_id_lo"), F.count("*").alias("n")).where("n > 1").drop("n"))
     joined = tuples.join(groups, "record").where(F.col("row_id") != F.col("row_id_lo"))
     return joined.select("row_id_lo", F.col("row_id").alias("row_id_hi"))
 

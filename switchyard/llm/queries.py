@@ -30,6 +30,10 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusables.look_alike_classes(_visible_records(spark, sf_dir), "id", "text")
 
 
+def p1_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return confusables.look_alike_members(_visible_records(spark, sf_dir), "id", "text")
+
+
 def _splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("network_ops_business_golden_v1", "network_ops_regression_local_fallback_v1")
     return reduce(DataFrame.unionByName, [table(spark, sf_dir, t).select("id", "text", "source", F.lit(t).alias("split")) for t in names])
@@ -84,7 +88,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_units.sentences(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_consistent": p1_consistent, "p1_classes": p1_classes, "p2_found": p2_found, "p2_report": p2_report, "p5_found": p5_found, "p5_collapsed": p5_collapsed, "p7_assignment": p7_assignment, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p1_consistent": p1_consistent, "p1_classes": p1_classes, "p1_members": p1_members, "p2_found": p2_found, "p2_report": p2_report, "p5_found": p5_found, "p5_collapsed": p5_collapsed, "p7_assignment": p7_assignment, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found}
 _FORM = r"lower(upper(regexp_replace(@, '[\s\x{3000}\x{a0}\p{P}]', '', 'g')))"
 _GROUPS = f"""
   WITH leaf AS (SELECT s.row_id, list_sort(list(t.fullkey || '=' || CASE WHEN t.type IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN CAST(CAST(t.atom AS DOUBLE) AS VARCHAR) ELSE t.type || coalesce(CAST(t.atom AS VARCHAR), '') END)) AS slots

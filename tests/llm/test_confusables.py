@@ -59,3 +59,13 @@ def test_character_tables_agree_with_whole_texts(spark):
     for name, f in (("test skeleton", lambda t: C.skeleton(t, table, width)), ("test letters", lambda t: C.letters_and_digits(t, letters, width))):
         fast = C._fast(name, f)
         assert [fast(t) for t in texts] == [f(t) for t in texts]
+
+
+def test_members_are_the_pairs_in_compact_form(spark):
+    texts = [x for p in SAME + DIFFERENT for x in p] * 2
+    df = spark.createDataFrame([(f"r{i:03d}", t) for i, t in enumerate(texts)], "id string, text string")
+    pairs = [tuple(r) for r in C.look_alike_pairs(df, "id", "text").collect()]
+    members = {r.id: r for r in C.look_alike_members(df, "id", "text").collect()}
+    assert set(members) == {x for p in pairs for x in p}
+    assert all(members[a].class_id == members[b].class_id for a, b in pairs)
+    assert all(m.n_links == sum(m.id in p for p in pairs) for m in members.values())

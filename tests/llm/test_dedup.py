@@ -63,3 +63,19 @@ def test_extreme_numbers_keep_their_value():
     assert len({tuple(D.field_values('{"t":%s}' % x)) for x in differ}) == len(differ)
     for same in ([long + "1", long + "1.0", f"{long[0]}.{long[1:]}1e20001"], [f"1e{far}", f"10e{'9' * 20}8", f"0.1e1{'0' * 21}"], ["1e" + "0" * 6000 + "1", "10"], ["0", "0.0", "0e5"]):
         assert len({tuple(D.field_values('{"t":%s}' % x)) for x in same}) == 1
+
+
+def test_a_hot_group_is_split(spark):
+    """Most rows are copies of one record: the join back is split by the adaptive plan."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = spark.range(60_000).selectExpr("xxhash64(id) as row_id", "if(id % 5 < 4, 'hot', concat('c', id % 5003)) as case_id", "'t' as text", "cast(null as string) as slots_json").repartition(12)
+        found = D.copies(rows, "row_id", ["case_id", "text"], ["slots_json"])
+        assert len(found.collect()) == 60_000 - rows.select("case_id").distinct().count()
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -5,9 +5,9 @@ configuration so that all items of the length histogram are covered with the few
 solved by multiplicative weights: lengths have prices, the best configuration under them is found by
 knapsack dynamic programming, the configurations of nearly best value are taken a step each, and the
 prices of what they cover fall by a factor. The result is rounded down, and what remains is filled in
-runs of first-fit-decreasing patterns. Only the histogram, which has at most `capacity` rows whatever
-the data, reaches the driver; the plan goes back as ranges of ranks within each length, and every item
-finds its container by its rank.
+runs of first-fit-decreasing patterns. Each capacity is solved by one task from its histogram, which has at
+most `capacity` rows whatever the data; the plan comes out as ranges of ranks within each length, which all
+tasks are given, and every item finds its container by its rank.
 
 Defined cases: items of no length, null texts and empty texts are not placed; an item above the capacity
 is split into full containers and one remainder, pieces counted from 0; repeated items are items of
@@ -31,6 +31,8 @@ from switchyard.session import materialize
 ROUNDS, STEP, NEAR, PER_ROUND = 120, 0.25, 0.02, 64
 #: Times the program is solved for what rounding left.
 AGAIN = 3
+#: Columns of a plan as a table.
+_PLAN = ("length", "start", "base", "per")
 #: Items of one length that are ranked in one task.
 RANKED_TOGETHER = 100_000
 
@@ -183,6 +185,20 @@ def _pieces(items: DataFrame, specs: list[tuple[str, int]]) -> DataFrame:
     return each.select("spec_id", "capacity", "doc_id", "piece", "n_pieces", F.least(F.col("capacity"), F.col("n_tokens") - begin).alias("n_tokens"))
 
 
+def _plans(counts: DataFrame, capacities: dict[str, int]) -> dict[str, tuple[np.ndarray, ...]]:
+    """The plan of each spec, solved by a task of its own from the histogram, which has at most `capacity` rows."""
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        spec = rows["spec_id"].iloc[0]
+        plan = plan_containers(dict(zip(rows["n_tokens"].tolist(), rows["n"].tolist())), capacities[spec])
+        return pd.DataFrame(dict(zip(_PLAN, plan.arrays()))).assign(spec_id=spec)
+
+    histogram = counts.groupBy("spec_id", "n_tokens").agg(F.sum("n").alias("n"))
+    solved = histogram.repartition(len(capacities), "spec_id").groupBy("spec_id").applyInPandas(solve, "length bigint, start bigint, base bigint, per bigint, spec_id string")
+    found = solved.toPandas()
+    return {spec: tuple(found.loc[found["spec_id"] == spec].sort_values(["length", "start"])[c].to_numpy() for c in _PLAN) for spec in capacities}
+
+
 def pack(sizes: DataFrame, specs: list[tuple[str, int]]) -> DataFrame:
     """spec_id, container, doc_id, piece, n_pieces, n_tokens, for sizes (doc_id, n_tokens) and specs (id, capacity).
 
@@ -196,10 +212,7 @@ def pack(sizes: DataFrame, specs: list[tuple[str, int]]) -> DataFrame:
     buckets = max(1, sizes.count() // RANKED_TOGETHER)
     pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
     counts = materialize(pieces.groupBy("spec_id", "n_tokens", "bucket").agg(F.count("*").alias("n")))
-    plans = {}
-    for spec, capacity in specs:
-        rows = counts.where(F.col("spec_id") == spec).groupBy("n_tokens").agg(F.sum("n").alias("n")).collect()  # at most `capacity` rows
-        plans[spec] = plan_containers({r.n_tokens: r.n for r in rows}, capacity).arrays()
+    plans = _plans(counts, dict(specs))
     sent = sizes.sparkSession.sparkContext.broadcast(plans)
 
     @F.pandas_udf("bigint")

@@ -7,13 +7,14 @@ by dictionary: each distinct value of a column is cast once, the invalid ones fo
 columns' own checks in the order given.
 
 Defined cases: a null or empty record has no 14 fields (`columns`); repeated records are each reported;
-line breaks belong to the value where they stand, but for one at the very end of the record; nesting of
-JSON beyond the parser's depth counts as invalid; extra columns of the input do not matter.
+line breaks belong to the value where they stand, but for one at the very end of the record; JSON may be
+nested to any depth and its numbers may have any length; extra columns of the input do not matter.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 
 from switchyard.session import BROADCAST_BYTES, BROADCAST_ROWS, materialize
 
-#: Columns of a seed export, in order.
+#: Columns of a seed export, in order.
 SEED_COLUMNS = ("case_id", "scene_id", "label", "text", "route_type", "slots_json", "tags", "priority", "owner", "version", "enabled", "risk_level", "source", "notes")
 _ESCAPE, _CUT = "\u0001", "\u0002"
 _BLANKS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
@@ -72,13 +73,50 @@ def _refuse(name: str):
 
 
 def is_strict_json_object(text: str) -> bool:
-    """One JSON object with JSON white space around it at most; no NaN or Infinity."""
+    """One JSON object with JSON white space around it at most; no NaN or Infinity. Numbers may be of any length and nesting of any depth."""
     try:
-        return isinstance(json.loads(text, parse_constant=_refuse), dict)
-    except (ValueError, RecursionError):
+        return isinstance(json.loads(text, parse_constant=_refuse, parse_int=str), dict)
+    except RecursionError:
+        return _is_object_by_tokens(text)
+    except ValueError:
         return False
 
 
+_JSON_TOKEN = re.compile(r'[ \t\n\r]*(?:("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+")|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null)|([{}\[\]:,]))')
+
+
+def _is_object_by_tokens(text: str) -> bool:
+    """The same by a machine with a stack of its own, for nesting beyond the parser's depth."""
+    stack: list[str] = []
+    expect, at, end = "value", 0, len(text.rstrip(" \t\n\r"))
+    first = True
+    while at < end:
+        m = _JSON_TOKEN.match(text, at)
+        if not m:
+            return False
+        at, (string, scalar, mark) = m.end(), m.groups()
+        if first and mark != "{":
+            return False
+        first = False
+        if string is not None and expect in ("key", "key or end"):
+            expect = "colon"
+        elif (string is not None or scalar is not None) and expect in ("value", "value or end"):
+            expect = "after"
+        elif mark in ("{", "[") and mark is not None and expect in ("value", "value or end"):
+            stack.append(mark)
+            expect = "key or end" if mark == "{" else "value or end"
+        elif mark in ("}", "]") and stack and stack[-1] == ("{" if mark == "}" else "[") and (expect == "after" or expect == ("key or end" if mark == "}" else "value or end")):
+            stack.pop()
+            expect = "after" if stack else "nothing"
+        elif mark == ":" and expect == "colon":
+            expect = "value"
+        elif mark == "," and expect == "after":
+            expect = "key" if stack[-1] == "{" else "value"
+        else:
+            return False
+    return expect == "nothing"
+
+
 @F.pandas_udf(T.BooleanType())
 def _strict_object(values: pd.Series) -> pd.Series:
     return values.map(lambda x: None if x is None else is_strict_json_object(x)).astype(object)
@@ -120,25 +158,34 @@ def _may_be_sent(dictionary: DataFrame) -> bool:
     return size[0] <= BROADCAST_ROWS and size[1] <= BROADCAST_BYTES
 
 
-def with_reasons(df: DataFrame, key: str, raw: str, columns: tuple[str, ...] = SEED_COLUMNS, checks=SEED_CHECKS) -> DataFrame:
-    """parse_records with a column `reason`, null for rows that can be loaded.
+#: Parts that a hot value is spread over where the dictionary is joined by value.
+SALTS = 16
+
+
+def with_reasons(df: DataFrame, key: str, raw: str, columns: tuple[str, ...] = SEED_COLUMNS, checks=SEED_CHECKS, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """parse_records with a column `reason`, null for rows that can be loaded; of the fields only those named in keep, by default all.
 
-    The dictionary is written first and its rows and bytes are measured: within the bounds it is sent to
-    the executors and the records are not shuffled, beyond them it is joined by value.
+    Records are parsed once and written. The dictionary is written too, and its rows and bytes are measured:
+    within the bounds it is sent to the executors and the records are not shuffled; beyond them it is joined
+    by value and salt, so that a value that many records share, or null, does not meet in one task.
     """
-    parsed = out = parse_records(df, key, raw, columns)
+    keep = columns if keep is None else keep
+    parsed = out = materialize(parse_records(df, key, raw, columns).select(key, "structure", *dict.fromkeys([*keep, *(c for c, _ in checks)])))
     dictionary = materialize(invalid_values(parsed, checks))
     small, reason = _may_be_sent(dictionary), F.col("structure")
+    if not small:
+        dictionary = dictionary.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = out.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
     for column, _ in checks:
-        bad = dictionary.where(F.col("column") == column).select(F.col("value").alias(column), F.lit(True).alias(f"bad_{column}"))
-        out = out.join(F.broadcast(bad) if small else bad, column, "left")
+        bad = dictionary.where(F.col("column") == column).withColumn(f"bad_{column}", F.lit(True)).withColumnRenamed("value", column).drop("column")
+        out = out.join(F.broadcast(bad), column, "left") if small else out.join(bad, [column, "_salt"], "left")
         reason = F.coalesce(reason, F.when(F.col(f"bad_{column}"), F.lit(column)))
-    return out.select(key, *columns, reason.alias("reason"))
+    return out.select(key, *keep, reason.alias("reason"))
 
 
 def rejected(df: DataFrame, key: str, raw: str) -> DataFrame:
     """Records that cannot be loaded, with the first reason that holds."""
-    return with_reasons(df, key, raw).where(F.col("reason").isNotNull()).select(key, "reason")
+    return with_reasons(df, key, raw, keep=()).where(F.col("reason").isNotNull()).select(key, "reason")
 
 
 def loaded(df: DataFrame, key: str, raw: str) -> DataFrame:

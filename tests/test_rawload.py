@@ -86,3 +86,23 @@ def test_large_dictionary_is_joined(spark, monkeypatch):
     monkeypatch.setattr(rawload, "BROADCAST_ROWS", 0)
     df = spark.createDataFrame([(i, line(["bad id", *GOOD[1:]]) if i % 2 else line(GOOD)) for i in range(20)], "k bigint, raw string")
     assert {r.k for r in rawload.rejected(df, "k", "raw").collect()} == set(range(1, 20, 2))
+
+
+def test_json_of_any_depth_and_length():
+    deep = '{"a":' * 60_000 + "[1]" + "}" * 60_000
+    assert rawload.is_strict_json_object(deep) and not rawload.is_strict_json_object(deep[:-1]) and not rawload.is_strict_json_object(deep + "}")
+    assert rawload.is_strict_json_object('{"a": ' + "7" * 5000 + "}") and not rawload.is_strict_json_object('{"a": ' + "0" + "7" * 5000 + "}")
+    for text in ('{}', ' {"a":[]}\n', '{"a":[1,{"b":null}],"c":"\\u00e9"}', '[]', '{"a":1,}', '{"a" 1}', '{,}', '{"a":[1,]}', '{"a":1}{}', '{"a":1} x', '{"a":NaN}', '{"a":01}', '{"a":"\x01"}', '"x"', '', '{"a":}', '{"a":1]', '{1:2}', '{"a":[}', '{"a":1 "b":2}', '{"a":tru}', '{"a":-}', '{"a":1.}', "{'a':1}"):
+        assert rawload._is_object_by_tokens(text) == rawload.is_strict_json_object(text), text
+
+
+def test_dictionary_by_value_spreads_hot_values(spark, monkeypatch):
+    """Beyond the bounds for sending the same rows come out, with a third of all records sharing one bad value."""
+    good = ["c1", "s", "l", "t", "r", '{"a":1}', "", "1", "o", "v", "true", "low", "x", ""]
+    line = lambda **k: ",".join('"' + k.get(c, g).replace('"', '""') + '"' for c, g in zip(rawload.SEED_COLUMNS, good))
+    lines = [line(case_id="") if i % 3 == 0 else line(slots_json="[1]") if i % 7 == 0 else "x,y" if i % 5 == 0 else line() for i in range(600)]
+    df = spark.createDataFrame(list(enumerate(lines)), "line_id bigint, raw_line string")
+    sent = sorted(map(tuple, rawload.rejected(df, "line_id", "raw_line").collect()))
+    monkeypatch.setattr(rawload, "_may_be_sent", lambda d: False)
+    assert sent and sorted(map(tuple, rawload.rejected(df, "line_id", "raw_line").collect())) == sent
+    assert rawload.loaded(df, "line_id", "raw_line").count() == 600 - len(sent)

@@ -1,15 +1,19 @@
-"""Column functions on text: normalising, tokens, ordered extraction, coercion. All built-in, no Python per row."""
+"""Column functions on text: normalising, tokens, ordered extraction, coercion. All built-in, but for JSON repairs (Arrow)."""
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Unicode white space, written out so that other engines can use the same class.
 SPACE = r"[\t\n\x0b\x0c\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-#: Characters that part tokens, besides white space.
-TOKEN_MARKS = ",，。？！?:：;；、/\\|!"
-TOKEN_SPLIT = SPACE[:-1] + r",，。？！?:：;；、/\\|!]+"
+#: White space and the marks that part tokens.
+TOKEN_SPLIT = SPACE[:-1] + r",，。？！!?:：;；、/\\|]+"
 _FULL_WIDTH_DIGITS = "０１２３４５６７８９"
 
 
@@ -61,17 +65,24 @@ def extract_number(text: Column, pattern: str, kind: str, low: float, high: floa
     return F.when((value >= low) & (value <= high), value)
 
 
+#: What stands before a count and before a share, so that the same numbers are found.
+COUNT_WORDS, SHARE_WORDS = (r"top\s*", "前"), (">", "大于", "超过")
+
+
 def extract_topn(text: Column) -> Column:
-    return extract_number(text, r"(?i)(?:top\s*|前)(\d+)", "bigint", 1, 1000)
+    """The first count that follows one of COUNT_WORDS in any case, from 1 to 1000."""
+    return extract_number(text, f"(?i)(?:{'|'.join(COUNT_WORDS)})([0-9]+)", "bigint", 1, 1000)
 
 
 def extract_percent(text: Column) -> Column:
-    return extract_number(text, r"(?:>|大于|超过)\s*(\d+(?:\.\d+)?)\s*%", "double", 0, 100)
+    """The first share in percent that follows one of SHARE_WORDS, from 0 to 100."""
+    return extract_number(text, rf"(?:{'|'.join(SHARE_WORDS)})\s*([0-9]+(?:\.[0-9]+)?)\s*%", "double", 0, 100)
 
 
 def extract_ip(text: Column) -> Column:
-    """First dotted quad not next to other digits; octets are not checked."""
-    return F.regexp_substr(text, F.lit(r"(?<!\d)(?:\d{1,3}\.){3}\d{1,3}(?!\d)"))
+    """First four groups of one to three digits parted by points, with no digit on either side; their values are not checked."""
+    group = "[0-9]{1,3}"
+    return F.regexp_substr(text, F.lit(rf"(?<![0-9]){group}\.{group}\.{group}\.{group}(?![0-9])"))
 
 
 def is_ipv4(c: Column) -> Column:
@@ -83,36 +94,74 @@ def json_path(c: Column, path: str) -> Column:
     return F.get_json_object(c, path)
 
 
+def _object_text(text: str) -> str | None:
+    """The text, if it is one JSON object and nothing more."""
+    try:
+        return text if isinstance(json.loads(text, parse_int=str), dict) else None
+    except (ValueError, RecursionError):
+        return None
+
+
+def _first_object(tries) -> str | None:
+    return next((x for x in map(_object_text, tries) if x is not None), None)
+
+
+def _repaired(text: str) -> str | None:
+    text = text.strip()
+    try:
+        if not isinstance(json.loads(text, parse_int=str), dict):
+            return None
+        return text
+    except (ValueError, RecursionError):
+        return _first_object((text.replace('\\"', '"'), text.replace("“", '"').replace("”", '"'), text.strip("'").replace("'", '"')))
+
+
+_FENCE = re.compile(r"\A\s*```(?:json)?|```\s*\Z")
+_BRACES = re.compile(r"\{.*\}", re.DOTALL)
+
+
+def _embedded(text: str) -> str | None:
+    braces = _BRACES.search(text)
+    return _first_object([_FENCE.sub("", text).strip(), *([braces.group()] if braces else [])])
+
+
+def _per_distinct(function):
+    """An Arrow UDF that applies function once to each distinct text of a batch. Built-in JSON parsers stop after the first value of a text."""
+
+    @F.pandas_udf(T.StringType())
+    def of(texts: pd.Series) -> pd.Series:
+        codes, distinct = pd.factorize(texts)
+        done = [function(x) for x in distinct]
+        return pd.Series([done[c] if c >= 0 else None for c in codes], dtype=object)
+
+    return of
+
+
 def embedded_json(c: Column) -> Column:
-    """JSON text out of a model's answer: without code fences, else its outermost braces."""
-    plain = uni_trim(F.regexp_replace(c, r"(?s)\A\s*```(?:json)?|```\s*\z", ""))
-    braces = F.nullif(F.regexp_extract(c, r"(?s)(\{.*\})", 1), F.lit(""))
-    return F.when(F.try_parse_json(plain).isNotNull(), plain).otherwise(F.when(F.try_parse_json(braces).isNotNull(), braces))
+    """The JSON object in a model's answer: the text without code fences, else its outermost braces; null if neither is one."""
+    return _per_distinct(_embedded)(c)
 
 
 def repaired_json(c: Column) -> Column:
-    """The first of: the text, unescaped quotes, straight quotes for curly ones, double for single ones, that parses."""
-    tries = [c, F.replace(c, F.lit('\\"'), F.lit('"')), F.translate(c, "“”‘’", "\"\"''"), F.replace(c, F.lit("'"), F.lit('"'))]
-    return F.coalesce(*(F.when(F.try_parse_json(t).isNotNull(), t) for t in tries))
+    """The JSON object a text holds, nothing after it: as it is, else with unescaped quotes, straight ones for curly ones, or
+    double ones for single ones, whichever parses first. Null for anything else, also for arrays and scalars."""
+    return _per_distinct(_repaired)(c)
 
 
 def first_non_blank(*columns: Column) -> Column:
     return F.coalesce(*(F.nullif(uni_trim(c), F.lit("")) for c in columns))
 
 
-def term_key(*columns: Column) -> Column:
-    return F.concat_ws("|", *(F.coalesce(c.cast("string"), F.lit("")) for c in columns))
-
-
 def clean_list(c: Column) -> Column:
     """Trimmed elements without blanks; an empty array for null."""
     return F.coalesce(F.filter(F.transform(c, uni_trim), lambda x: x != ""), F.array().cast("array<string>"))
 
 
 def bool_word(c: Column, blank: bool | None = False) -> Column:
-    """true, 1, yes, y, on; other words are false; blank as given."""
+    """true, 1, yes, y, on and their opposites; null for other words; blank as given."""
     word = F.lower(uni_trim(c))
-    return F.when(F.coalesce(word, F.lit("")) == "", F.lit(blank)).otherwise(word.isin("1", "true", "yes", "y", "on"))
+    known = F.when(word.isin("1", "true", "yes", "y", "on"), True).when(word.isin("0", "false", "no", "n", "off"), False)
+    return F.when(F.coalesce(word, F.lit("")) == "", F.lit(blank)).otherwise(known)
 
 
 def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
@@ -128,9 +177,3 @@ def round_count(c: Column, least: int, default: int) -> Column:
 
 def split_tags(c: Column) -> Column:
     return clean_list(F.split(c, r"[,|]"))
-
-
-def on_word_boundary(text: Column, start: Column, length: Column) -> Column:
-    """Whether no ASCII word character stands next to text[start, start + length), start from 1."""
-    around = F.concat(F.substring(text, F.greatest(start - 1, F.lit(1)), F.when(start > 1, 1).otherwise(0)), F.lit("\n"), F.substring(text, start + length, F.lit(1)))
-    return ~around.rlike("[0-9A-Za-z_]")

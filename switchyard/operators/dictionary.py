@@ -11,7 +11,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from switchyard.functions.text import clamp, first_non_blank, uni_trim
@@ -128,9 +127,3 @@ def asset_terms(assets: DataFrame, domain: str, slot: str, ids: list[str], names
 def n_domains(matches: DataFrame, text_id: str) -> DataFrame:
     """Matches of each text per domain."""
     return matches.groupBy(text_id, "domain").agg(F.count("*").alias("n_matches"))
-
-
-def running_best(matches: DataFrame, text_id: str) -> DataFrame:
-    """Best score so far within a text, in order of place."""
-    by = W.partitionBy(text_id).orderBy("first", "last", "folded").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return matches.withColumn("best_so_far", F.max("score").over(by))

@@ -17,9 +17,12 @@ def matches(expected: dict[str, Column], actual: dict[str, Column], subset: tupl
     return ok
 
 
-def failure_reason(expected: dict[str, Column], actual: dict[str, Column]) -> Column:
-    """Names of the differing keys, joined; empty if none."""
+def failure_reason(expected: dict[str, Column], actual: dict[str, Column], subset: tuple[str, Column, Column] | None = None) -> Column:
+    """Names of the differing keys, joined; empty if none. subset: a name and two arrays, of which the second must hold the first."""
     parts = [F.when(e.isNotNull() & ~F.coalesce(e == actual[n], F.lit(False)), n) for n, e in expected.items()]
+    if subset:
+        name, e, a = subset
+        parts.append(F.when(F.size(F.array_except(e, F.coalesce(a, F.array().cast("array<string>")))) > 0, name))
     return F.concat_ws(",", *parts)
 
 

@@ -8,12 +8,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from switchyard.session import materialize
+
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of each group. Spark cuts each partition to k rows a group before the shuffle."""
     return df.withColumn(rank, F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= k)
 
 
+def with_places(df: DataFrame, *order: str) -> DataFrame:
+    """df with `place`, from 1, in the given order over all rows. Rows are counted by sorted partition, so none is moved into one task."""
+    sorted_rows = materialize(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = sorted_rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # a row per partition
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_part", before.alias("_before"))
+    placed = sorted_rows.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return placed.withColumn("place", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_at", "_part", "_before")
+
+
 def best_per_key(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return top_k(df, by, order, 1, "_best").drop("_best")
 

@@ -5,48 +5,66 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from switchyard.functions.text import bool_word, first_non_blank, repaired_json, split_tags, uni_trim
-from switchyard.operators.ranking import best_per_key
+from switchyard.functions.text import bool_word, clean_list, repaired_json, split_tags, uni_trim
 
+#: Fields that must be there, and defaults of the other texts.
 REQUIRED = ("case_id", "scene_id", "label", "text")
+DEFAULTS = {"route_type": "route_nl2sql", "owner": "", "version": "v1", "risk_level": "medium", "source": "import", "notes": ""}
 
 
 def normalized_rows(rows: DataFrame, order: str) -> DataFrame:
-    """Seed rows (all fields text) typed and defaulted, with `reason` (null if valid). Nothing is dropped.
+    """Seed rows typed and defaulted, with `reason` (null if valid). Nothing is dropped.
 
-    Blank `enabled` is false, a blank or bad `priority` makes a row invalid, text needs two characters.
+    A field that is null, or that rows has not, takes its default; one that is blank stays blank, which is false
+    for `enabled` and invalid for `priority`. Words for `enabled` that mean neither are invalid; text needs two
+    characters. `slots` (a JSON text, struct or map) goes before `slots_json`; tags are an array or one text.
     """
-    t = {c: F.coalesce(uni_trim(F.col(c).cast("string")), F.lit("")) for c in rows.columns}
+    kinds = dict(rows.dtypes)
+    field = lambda c: uni_trim(F.col(c).cast("string")) if c in kinds else F.lit(None).cast("string")
+    with_default = lambda c, value: F.coalesce(field(c), F.lit(value))
+    t = {c: F.coalesce(field(c), F.lit("")) for c in REQUIRED}
     reason = F.lit(None).cast("string")
     for c in reversed(REQUIRED):
         reason = F.when(t[c] == "", f"missing_{c}").otherwise(reason)
-    priority = t["priority"].try_cast("int")
-    slots = F.when(t["slots_json"] != "", repaired_json(t["slots_json"]))
-    reason = F.coalesce(reason, F.when(F.length(t["text"]) < 2, "short_text"), F.when(priority.isNull(), "bad_priority"), F.when((t["slots_json"] != "") & slots.isNull(), "bad_slots"))
-    return rows.select(
-        F.col(order), *(t[c].alias(c) for c in REQUIRED), first_non_blank(t["route_type"], F.lit("route_nl2sql")).alias("route_type"), slots.alias("slots_json"), split_tags(t["tags"]).alias("tags"), priority.alias("priority"),
-        first_non_blank(t["owner"], F.lit("unknown")).alias("owner"), first_non_blank(t["version"], F.lit("v1")).alias("version"), bool_word(F.col("enabled").cast("string")).alias("enabled"), reason.alias("reason"),
+    enabled, priority = bool_word(with_default("enabled", "true")), with_default("priority", "100").try_cast("int")
+    own = F.to_json(F.col("slots")) if kinds.get("slots", "string") != "string" else field("slots")
+    given = F.coalesce(F.nullif(own, F.lit("")), F.nullif(field("slots_json"), F.lit("")))
+    slots = F.when(given.isNotNull(), repaired_json(given)).otherwise("{}")
+    tags = clean_list(F.col("tags")) if kinds.get("tags", "").startswith("array") else split_tags(field("tags"))
+    reason = F.coalesce(reason, F.when(F.length(t["text"]) < 2, "short_text"), F.when(enabled.isNull(), "bad_enabled"), F.when(priority.isNull(), "bad_priority"))
+    typed = rows.select(
+        F.col(order), *(t[c].alias(c) for c in REQUIRED), slots.alias("slots_json"), tags.alias("tags"), enabled.alias("enabled"), priority.alias("priority"), reason.alias("reason"),
+        *(with_default(c, value).alias(c) for c, value in DEFAULTS.items()),
     )
+    return typed.withColumn("reason", F.coalesce("reason", F.when(F.col("slots_json").isNull(), "bad_slots")))
 
 
 def one_per_key(rows: DataFrame, key: str, order: str, policy: str = "keep_last") -> DataFrame:
-    """One row per key by policy, placed at the key's first position (`position`), with n_rows.
+    """One row per key by policy, placed at the key's first position (`position`), with n_rows; one combining aggregation.
 
-    error keeps nothing back: it returns the rows of keys that occur more than once.
+    error keeps nothing back: it returns the rows of keys that occur more than once, with position and n_rows.
     """
-    counts = rows.groupBy(key).agg(F.min(order).alias("position"), F.count("*").alias("n_rows"))
+    first, n = F.min(order).alias("position"), F.count("*").alias("n_rows")
     if policy == "error":
-        return rows.join(counts.where("n_rows > 1"), key)
+        return rows.join(rows.groupBy(key).agg(first, n).where("n_rows > 1"), key)
     if policy not in ("keep_first", "keep_last"):
         raise ValueError(policy)
-    o = F.col(order)
-    return best_per_key(rows, [key], [o.asc() if policy == "keep_first" else o.desc()]).join(counts, key)
+    rest = [c for c in rows.columns if c != key]
+    if rest == [order]:
+        best = (F.min if policy == "keep_first" else F.max)(order).alias(order)
+        return rows.groupBy(key).agg(best, first, n)
+    pick = F.min_by if policy == "keep_first" else F.max_by
+    return rows.groupBy(key).agg(pick(F.struct(*rest), order).alias("r"), first, n).select(key, "r.*", "position", "n_rows")
 
 
-def import_counts(rows: DataFrame, key: str) -> DataFrame:
-    """rows_total, rows_ok, rows_invalid, duplicates, output_count of normalized rows, in one pass over grouped keys."""
+def import_counts(rows: DataFrame, key: str, policy: str = "keep_last") -> DataFrame:
+    """rows_total, rows_ok (rows that are kept), rows_invalid, duplicates, output_count of normalized rows, in one pass over
+    grouped keys. Duplicates count as invalid under the policy `error`."""
     per = rows.groupBy(key).agg(F.count("*").alias("n"), F.count(F.when(F.col("reason").isNull(), 1)).alias("ok"))
-    return per.agg(F.sum("n").alias("rows_total"), F.sum("ok").alias("rows_ok"), F.sum(F.col("n") - F.col("ok")).alias("rows_invalid"), F.sum(F.greatest(F.col("ok") - 1, F.lit(0))).alias("duplicates"), F.sum(F.least(F.col("ok"), F.lit(1))).alias("output_count"))
+    kept, more = F.least(F.col("ok"), F.lit(1)), F.greatest(F.col("ok") - 1, F.lit(0))
+    invalid = F.col("n") - F.col("ok") + (more if policy == "error" else F.lit(0))
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    return per.agg(total(F.col("n"), "rows_total"), total(kept, "rows_ok"), total(invalid, "rows_invalid"), total(more, "duplicates"), total(kept, "output_count"))
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
@@ -60,6 +78,13 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     return both.select(row.alias("r"), origin.alias("origin")).select("r.*", "origin")
 
 
+def merged(existing: DataFrame, incoming: DataFrame, key: str, mode: str = "replace") -> DataFrame:
+    """incoming alone, or written over existing by key, in order of the key's code points."""
+    if mode not in ("replace", "upsert"):
+        raise ValueError(mode)
+    return (incoming if mode == "replace" else upsert(existing, incoming, key).drop("origin")).orderBy(key)
+
+
 def missing_keys(rows: DataFrame, parents: DataFrame, column: str, key: str) -> DataFrame:
     """Rows whose non-null key is in no parent row."""
     keys = parents.select(F.col(key).alias(column)).where(F.col(column).isNotNull()).distinct()
@@ -71,7 +96,20 @@ def not_yet_listed(legacy: DataFrame, listed: DataFrame, key: str) -> DataFrame:
     return legacy.join(listed.select(key).distinct(), key, "left_anti")
 
 
-def grouped_back(parents: DataFrame, children: DataFrame, key: str, child: str) -> DataFrame:
-    """Parents with the sorted list of their children's ids; parents without any keep an empty list."""
-    lists = children.groupBy(key).agg(F.sort_array(F.collect_list(child)).alias("children"))
-    return parents.join(lists, key, "left").withColumn("children", F.coalesce("children", F.array().cast("array<string>")))
+#: Most children in one list; a key with more has several rows.
+MOST_LISTED = 100_000
+
+
+def grouped_back(parents: DataFrame, children: DataFrame, key: str, child: str, most: int | None = None) -> DataFrame:
+    """Parents with the sorted list of their children's ids (`children`); parents without any keep an empty list.
+
+    A key's children are counted first; beyond MOST_LISTED they come in several rows of the parent (`part`, from
+    0), by hash, each sorted, so that no list grows with the data.
+    """
+    most = MOST_LISTED if most is None else most
+    some = children.select(key, child).where(F.col(key).isNotNull() & F.col(child).isNotNull())
+    parts = some.groupBy(key).agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("parts")).where("parts > 1")
+    parted = some.join(parts, key, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(child), F.col("parts")), F.lit(0)).cast("int"))
+    lists = parted.groupBy(key, "part").agg(F.sort_array(F.collect_list(child)).alias("children"))
+    empty = F.array().cast(f"array<{dict(children.dtypes)[child]}>")
+    return parents.join(lists, key, "left").withColumns({"children": F.coalesce("children", empty), "part": F.coalesce("part", F.lit(0))})

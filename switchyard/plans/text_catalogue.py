@@ -16,6 +16,7 @@ GOLDEN, REGRESSION = "network_ops_business_golden_v1", "network_ops_regression_l
 #: Demonstration scenes over `documents`: languages, by frequent words.
 SCENES = {"en": ["the", "of", "and", "that"], "de": ["der", "die", "das", "und"], "fr": ["la", "le", "que", "les"], "es": ["el", "los", "las", "en"]}
 NEGATIVE = {"en": ["photo"], "de": ["foto"], "fr": ["photo"], "es": ["foto"]}
+#: Words for a time range, in the order in which they are tried.
 PRESETS = [(["近24小时", "24小时"], "last_24h"), (["近7天"], "last_7d"), (["近14天"], "last_14d"), (["近30天"], "last_30d"), (["近90天"], "last_90d"), (["今天"], "today"), (["昨天"], "yesterday"), (["本周"], "this_week")]
 POLICY = [(["noc"], "blocked"), (["weather", "股票"], "unknown"), (["u.s."], "unsupported"), (["192.0.2."], "unavailable")]
 
@@ -196,10 +197,15 @@ def extract_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, GOLDEN).select("id", text.extract_topn(F.col("text")).alias("topn"))
 
 
-@register("SELECT doc_id, CASE WHEN v BETWEEN 0 AND 100 THEN v END AS percent FROM (SELECT doc_id, try_cast(" + _N.replace("@", "([0-9]+(?:\\.[0-9]+)?)[ ]*%") + " AS DOUBLE) AS v FROM documents)")
+_SHARE = "text || CASE WHEN doc_id % 3 = 0 THEN ' 超过 ' WHEN doc_id % 3 = 1 THEN ' >' ELSE ' 大于' END || (doc_id % 130) || '.5 %'"
+
+
+@register(f"SELECT doc_id, CASE WHEN v BETWEEN 0 AND 100 THEN v END AS percent FROM (SELECT doc_id, try_cast({_N.replace('text', _SHARE).replace('@', '(?:>|大于|超过)[ ]*([0-9]+(?:[.][0-9]+)?)[ ]*%')} AS DOUBLE) AS v FROM documents)")
 def extract_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    value = text.extract_number(F.col("text"), r"([0-9]+(?:\.[0-9]+)?)[ ]*%", "double", 0, 100)
-    return table(spark, sf_dir, "documents").select("doc_id", value.alias("percent"))
+    """The share that a text names; each text has one added, so that there is something to find."""
+    mark = F.when(F.col("doc_id") % 3 == 0, " 超过 ").when(F.col("doc_id") % 3 == 1, " >").otherwise(" 大于")
+    longer = F.concat("text", mark, (F.col("doc_id") % 130).cast("string"), F.lit(".5 %"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.extract_percent(longer).alias("percent"))
 
 
 @register(f"SELECT id, {_case_sql(norm_sql('text'), PRESETS)} AS preset, length(text) AS n_chars FROM {GOLDEN}")

@@ -38,11 +38,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder named by spark.checkpoint.dir; sets a temporary one only where none is named."""
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """The folder named by spark.checkpoint.dir. A temporary one stands in on a single machine only: on a cluster, others could not read it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+    return tempfile.mkdtemp(prefix=f"switchyard-{purpose}-")
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="switchyard-checkpoint-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark, "checkpoint"))
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -51,11 +59,6 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks df for broadcast if it has at most limit rows, as counted; else leaves the join to Spark."""
-    return F.broadcast(df) if is_small(df, limit) else df
-
-
 def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Whether df has at most limit rows. A plain count, which reads only the footers of a table's files."""
     return df.count() <= limit

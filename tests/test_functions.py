@@ -140,3 +140,56 @@ def test_gates(spark):
     evaluate.enforce_gates(summary, {"exact_accuracy": 0.6})
     with pytest.raises(evaluate.GateError):
         evaluate.enforce_gates(summary, {"weighted_accuracy": 0.9})
+
+
+def test_json_objects_only(spark):
+    rows = [('{"a":1}',), ('{"a":1} xyz',), ('{"a":1}{"b":2}',), ("'{\"a\":1}'",), ("[1]",), ("5",), ('"x"',), ('{\\"a\\": 1}',), ("{'a': 'b'}",), ('{“a”: 1}',), ('{"a":1}],[{"b":2}',), (None,), ("",)]
+    got = [g[0] for g in values(spark, rows, "t string", text.repaired_json(F.col("t")))]
+    assert got == ['{"a":1}', None, None, '{"a":1}', None, None, None, '{"a": 1}', '{"a": "b"}', '{"a": 1}', None, None, None]
+    rows = [('```json\n{"a":1}\n```',), ('said {"a":{"b":1}} ok',), ("none",), ('{"a":1} and {"b":2}',), (None,)]
+    assert [g[0] for g in values(spark, rows, "t string", text.embedded_json(F.col("t")))] == ['{"a":1}', '{"a":{"b":1}}', None, None, None]
+
+
+def test_import_of_rows(spark):
+    names = "row int, case_id string, scene_id string, label string, text string, enabled string, priority string, slots_json string, tags string, owner string, risk_level string"
+    good = ("c1", "s", "l", "text", "on", " 7 ", '{"a":1}', "a, b|c,,", None, "high")
+    change = lambda **k: tuple(k.get(n, v) for n, v in zip(("case_id", "scene_id", "label", "text", "enabled", "priority", "slots_json", "tags", "owner", "risk_level"), good))
+    cases = [(good, None), (change(case_id=" "), "missing_case_id"), (change(text="x"), "short_text"), (change(enabled="maybe"), "bad_enabled"), (change(enabled=""), None), (change(enabled=None), None), (change(priority=""), "bad_priority"), (change(priority="7.5"), "bad_priority"), (change(priority=None), None), (change(slots_json="[1]"), "bad_slots"), (change(slots_json='{"a":1} x'), "bad_slots"), (change(slots_json=""), None)]
+    df = seeds.normalized_rows(spark.createDataFrame([(i, *c) for i, (c, _) in enumerate(cases)], names), "row")
+    got = {r.row: r for r in df.collect()}
+    assert [got[i].reason for i in range(len(cases))] == [why for _, why in cases]
+    first = got[0]
+    assert (first.tags, first.owner, first.risk_level, first.source, first.notes, first.version, first.route_type, first.priority, first.enabled) == (["a", "b", "c"], "", "high", "import", "", "v1", "route_nl2sql", 7, True)
+    assert got[4].enabled is False and got[5].enabled is True and got[8].priority == 100 and got[11].slots_json == "{}"
+    counts = lambda policy: tuple(seeds.import_counts(df, "case_id", policy).first())
+    assert counts("keep_last") == (12, 1, 7, 4, 1) and counts("error") == (12, 1, 11, 4, 1)
+    own = spark.createDataFrame([(1, "c", "s", "l", "text", {"x": "1"}, '{"a":1}', ["p", " "])], "row int, case_id string, scene_id string, label string, text string, slots map<string,string>, slots_json string, tags array<string>")
+    r = seeds.normalized_rows(own, "row").first()
+    assert r.slots_json == '{"x":"1"}' and r.tags == ["p"] and r.reason is None
+
+
+def test_long_lists_come_in_parts(spark):
+    parents = spark.createDataFrame([("a",), ("b",), ("c",)], "k string")
+    children = spark.createDataFrame([("a", f"x{i:03d}") for i in range(100)] + [("b", "y"), (None, "z"), ("b", None)], "k string, id string")
+    rows = seeds.grouped_back(parents, children, "k", "id", most=30).collect()
+    assert sorted(x for r in rows if r.k == "a" for x in r.children) == [f"x{i:03d}" for i in range(100)] and sum(r.k == "a" for r in rows) == 4
+    assert [r.children for r in rows if r.k == "b"] == [["y"]] and [r.children for r in rows if r.k == "c"] == [[]]
+
+
+def test_places_over_partitions(spark):
+    df = spark.range(1000).selectExpr("hash(id) as h", "id").repartition(5)
+    got = ranking.with_places(df, "h", "id").collect()
+    assert [r.place for r in sorted(got, key=lambda r: (r.h, r.id))] == list(range(1, 1001))
+
+
+def test_no_temporary_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from switchyard.session import shared_folder
+
+    conf = {}
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k, d)), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        shared_folder(fake, "x")
+    conf["spark.checkpoint.dir"] = "/shared"
+    assert shared_folder(fake, "x") == "/shared"

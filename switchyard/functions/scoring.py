@@ -26,6 +26,12 @@ def entry_phrase_score(text: Column, phrases: list[str]) -> Column:
     return F.when(hits == 0, 0.0).otherwise(F.least(F.lit(1.0), F.lit(0.4) + F.lit(0.2) * hits))
 
 
+def phrase_score(text: Column, phrases: Column) -> Column:
+    """entry_phrase_score for an array column; 0 for none."""
+    hits = F.size(F.filter(phrases, lambda p: F.contains(text, p)))
+    return F.when(F.coalesce(hits, F.lit(0)) <= 0, 0.0).otherwise(F.least(F.lit(1.0), F.lit(0.4) + F.lit(0.2) * hits))
+
+
 def is_present(c: Column) -> Column:
     """A slot value is present unless it is null or empty text; 0 and false are present."""
     return ~F.coalesce(c, F.lit('""')).isin("null", '""', "")

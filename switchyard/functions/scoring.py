@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
@@ -109,6 +110,48 @@ def hashed_embedder(dimension: int = 64, n: int = 3) -> Callable[[list[str]], np
     return encode
 
 
+def http_embedder(make_transport: Callable[[], Callable[[dict], str]], model: str, dimension: int | None = None) -> Callable[[], Callable[[list[str]], np.ndarray]]:
+    """Makes encoders that ask a server for the vectors of a batch in one call (`data[].embedding`, by `index`)."""
+
+    def make() -> Callable[[list[str]], np.ndarray]:
+        transport = make_transport()
+
+        def encode(texts: list[str]) -> np.ndarray:
+            if not texts:
+                return np.zeros((0, dimension or 0))
+            rows = sorted(json.loads(transport({"model": model, "input": texts}))["data"], key=lambda r: r["index"])
+            out = np.array([r["embedding"] for r in rows], dtype=float)
+            if len(out) != len(texts) or dimension and out.shape[1] != dimension:
+                raise ValueError(f"vectors of shape {out.shape} for {len(texts)} texts")
+            return out
+
+        return encode
+
+    return make
+
+
+def model_embedder(load: Callable[[], object]) -> Callable[[], Callable[[list[str]], np.ndarray]]:
+    """Makes encoders around a model with an encode method, loaded once per worker."""
+
+    def make() -> Callable[[list[str]], np.ndarray]:
+        model = load()
+        return lambda texts: np.asarray(model.encode(texts), dtype=float)
+
+    return make
+
+
+def make_embedder(config: dict, load: Callable[[], object] | None = None, make_transport: Callable[[], Callable[[dict], str]] | None = None) -> Callable[[], Callable[[list[str]], np.ndarray]]:
+    """The embedder a configuration names: `hash` (for tests), `local` (a model that load gives) or `http` (a server behind make_transport)."""
+    provider, dimension = config.get("provider", "hash"), config.get("dimension")
+    if provider == "hash":
+        return lambda: hashed_embedder(dimension or 64)
+    if provider == "local" and load is not None:
+        return model_embedder(load)
+    if provider == "http" and make_transport is not None:
+        return http_embedder(make_transport, config["model"], dimension)
+    raise ValueError(f"no embedder for {provider}")
+
+
 def embed(text: Column, make_encoder: Callable[[], Callable[[list[str]], np.ndarray]], prefix: str = "query: ") -> Column:
     """Vector of prefix + text. The encoder is made once per worker and is given Arrow batches."""
 

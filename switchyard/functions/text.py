@@ -137,6 +137,19 @@ def _per_distinct(function):
     return of
 
 
+def _valid(text: str) -> str | None:
+    try:
+        json.loads(text, parse_int=str)
+        return ""
+    except (ValueError, RecursionError):
+        return None
+
+
+def is_json(c: Column) -> Column:
+    """Whether a text is one JSON value and nothing more; false for null."""
+    return _per_distinct(_valid)(c).isNotNull()
+
+
 def embedded_json(c: Column) -> Column:
     """The JSON object in a model's answer: the text without code fences, else its outermost braces; null if neither is one."""
     return _per_distinct(_embedded)(c)

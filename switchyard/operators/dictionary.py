@@ -99,17 +99,36 @@ def penalised(score: Column, domain: Column, allowed: Column, penalty: float = 0
     return score - F.when(allowed.isNull() | (F.size(allowed) == 0) | F.array_contains(allowed, domain), 0.0).otherwise(penalty)
 
 
-def merged_terms(terms: DataFrame) -> DataFrame:
-    """One row per key (all but case of the term): best score, all aliases once in any case, first spelling."""
-    key = F.lower(F.concat_ws("|", *(F.coalesce(F.col(c), F.lit("")) for c in ("domain", "slot", "value", "entity_id", "term"))))
-    keyed = terms.withColumn("key", F.md5(key))
-    heads = keyed.groupBy("key").agg(
-        *(F.min(c).alias(c) for c in ("term", "domain", "slot", "value", "entity_id")), F.max("entity_name").alias("entity_name"), F.max(clamp(F.col("score"))).alias("score"), F.bool_or("word_boundary").alias("word_boundary"), F.count("*").alias("n_rows")
-    )
-    spelled = keyed.select("key", F.explode("aliases").alias("alias")).select("key", uni_trim(F.col("alias")).alias("alias")).where("alias <> ''")
-    once = spelled.groupBy("key", F.lower("alias").alias("folded")).agg(F.min("alias").alias("alias"))
-    lists = once.groupBy("key").agg(F.sort_array(F.collect_list("alias")).alias("aliases"))
-    return heads.join(lists, "key", "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>"))).drop("key")
+def merged_terms(terms: DataFrame, least_length: int = 1, order: str | None = None) -> DataFrame:
+    """One row per key (domain, slot, value, entity, term; all in any case): the fields of its first row, the best score, the
+    largest metadata (a map column, if there is one), the first word boundary that is said, all aliases once in any case in their first
+    spelling and without the term itself. Terms that are too short and such without a slot are left out.
+
+    First is by the column `order`, by default `ord`, or else the fields themselves. Aliases are compared one
+    by one, so that no list of a hot key has to be put together before they are distinct.
+    """
+    fields = ("term", "domain", "slot", "value", "entity_id")
+    clean = {c: uni_trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in (*fields, "entity_name")}
+    key = F.md5(F.lower(F.concat_ws("|", *(clean[c] for c in ("domain", "slot", "value", "entity_id", "term")))))
+    by = order or ("ord" if "ord" in terms.columns else None)
+    first = F.struct(*([F.col(by)] if by else []), *(clean[c] for c in (*fields, "entity_name")))
+    some = terms.where((F.length(clean["term"]) >= least_length) & (clean["slot"] != "")).withColumn("key", key).withColumn("_first", first)
+    kept = lambda c: F.nullif(F.min_by(clean[c], "_first"), F.lit("")) if c not in ("term", "slot") else F.min_by(clean[c], "_first")
+    score = clamp(F.coalesce(F.col("score"), F.lit(0.99)))
+    extra = [F.max_by("metadata", F.struct(F.size("metadata"), F.hash(F.to_json("metadata")))).alias("metadata")] if "metadata" in terms.columns else []
+    heads = some.groupBy("key").agg(
+        *(kept(c).alias(c) for c in (*fields, "entity_name")), F.max(score).alias("score"), F.min_by("word_boundary", F.when(F.col("word_boundary").isNotNull(), F.col("_first"))).alias("word_boundary"), F.count("*").alias("n_rows"), *extra
+    )
+    spelled = some.select("key", "_first", F.posexplode("aliases").alias("place", "alias")).withColumn("alias", uni_trim(F.col("alias"))).where("alias <> ''")
+    once = spelled.groupBy("key", F.lower("alias").alias("folded")).agg(F.min_by("alias", F.struct("_first", "place", "alias")).alias("alias"), F.min(F.struct("_first", "place", "alias")).alias("at"))
+    lists = once.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "alias"))), lambda x: x["alias"]).alias("aliases"))
+    out = heads.join(lists, "key", "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>"))).drop("key")
+    return out.withColumn("aliases", F.filter("aliases", lambda x: x != F.col("term")))
+
+
+def in_order(merged: DataFrame) -> DataFrame:
+    """Merged terms by domain, slot and term, for an export."""
+    return merged.orderBy(F.coalesce("domain", F.lit("")), "slot", "term")
 
 
 def asset_terms(assets: DataFrame, domain: str, slot: str, ids: list[str], names: list[str], ip: str | None = None) -> DataFrame:

@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from switchyard.functions.scoring import keyword_overlap, sequence_ratio
+from switchyard.functions.scoring import embed, keyword_overlap, sequence_ratio
 from switchyard.functions.text import TOKEN_SPLIT as TOKENS
 from switchyard.functions.text import extract_ip, tokenize
 from switchyard.operators.ranking import top_k
-from switchyard.session import is_small
+from switchyard.session import is_small, materialize
 
 #: Most queries of one pass over the index; they are sent to every executor.
 MOST_QUERIES = 20_000
@@ -137,6 +137,13 @@ def lexical(queries: DataFrame, items: DataFrame, k: int, query_id: str, norm: s
     return best.select(F.col("q").alias(query_id), F.col("i").alias(item_id), "score", "rank")
 
 
+def with_query_vectors(queries: DataFrame, norm: str, make_encoder, prefix: str = "query: ") -> DataFrame:
+    """queries with `query_vector`; each distinct text is encoded once, whatever the number of queries that have it."""
+    vectors = queries.select(norm).distinct().withColumn("query_vector", embed(F.coalesce(F.col(norm), F.lit("")), make_encoder, prefix))
+    known = materialize(vectors.withColumn("_key", F.coalesce(F.md5(norm), F.lit("")))).drop(norm)
+    return queries.withColumn("_key", F.coalesce(F.md5(norm), F.lit(""))).join(known, "_key").drop("_key")
+
+
 def no_hits(queries: DataFrame, query_id: str, item_id: str, item_type: str = "string") -> DataFrame:
     """The retriever where there is no index: no row, with the columns of the others."""
     return queries.select(F.col(query_id), F.lit(None).cast(item_type).alias(item_id), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)

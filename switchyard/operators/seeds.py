@@ -96,6 +96,12 @@ def not_yet_listed(legacy: DataFrame, listed: DataFrame, key: str) -> DataFrame:
     return legacy.join(listed.select(key).distinct(), key, "left_anti")
 
 
+def carried_templates(incoming: DataFrame, intents: DataFrame) -> DataFrame:
+    """incoming (scene_id, case_id, ...) with the template_id that an intent of that scene and case had before, the least of several; null if none had."""
+    before = intents.where(F.trim(F.coalesce("template_id", F.lit(""))) != "").groupBy("scene_id", "case_id").agg(F.min("template_id").alias("template_id"))
+    return incoming.drop("template_id").join(before, ["scene_id", "case_id"], "left")
+
+
 #: Most children in one list; a key with more has several rows.
 MOST_LISTED = 100_000
 

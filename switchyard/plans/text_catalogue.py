@@ -331,17 +331,19 @@ def domain_router(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, GOLDEN).where("text is not null").select("id", F.array_join(chosen, ",").alias("domains"))
 
 
-_KEY = "lower(concat_ws('|', coalesce(domain, ''), coalesce(slot, ''), coalesce(value, ''), coalesce(entity_id, ''), coalesce(term, '')))"
+_FIELDS = ["term", "domain", "slot", "value", "entity_id"]
+_KEY = "lower(concat_ws('|', " + ", ".join(f"c_{c}" for c in ("domain", "slot", "value", "entity_id", "term")) + "))"
 
 
-@register(f"""WITH k AS (SELECT *, {_KEY} AS key FROM ac_terms),
-  h AS (SELECT key, min(term) AS term, max(greatest(0, least(1, coalesce(score, 0)))) AS score, count(*) AS n FROM k GROUP BY key),
-  a AS (SELECT key, {trim_sql('alias')} AS alias FROM (SELECT key, unnest(aliases) AS alias FROM k)),
-  o AS (SELECT key, min(alias) AS alias FROM a WHERE alias <> '' GROUP BY key, lower(alias)),
-  l AS (SELECT key, array_to_string(list_sort(list(alias)), ',') AS aliases FROM o GROUP BY key)
-  SELECT term, score, coalesce(aliases, '') AS aliases, CAST(n AS BIGINT) AS n_rows FROM h LEFT JOIN l USING (key)""")
+@register(f"""WITH c AS (SELECT *, {", ".join(f"coalesce({trim_sql(c)}, '') AS c_{c}" for c in _FIELDS)} FROM ac_terms),
+  k AS (SELECT *, {_KEY} AS key FROM c WHERE length(c_term) >= 1 AND c_slot <> ''),
+  h AS (SELECT key, arg_min(c_term, term_id) AS term, arg_min(c_slot, term_id) AS slot, max(greatest(0, least(1, coalesce(score, 0.99)))) AS score, arg_min(word_boundary, term_id) FILTER (word_boundary IS NOT NULL) AS word_boundary, count(*) AS n FROM k GROUP BY key),
+  a AS (SELECT key, term_id, place, {trim_sql('alias')} AS alias FROM (SELECT key, term_id, unnest(aliases) AS alias, generate_subscripts(aliases, 1) AS place FROM k)),
+  o AS (SELECT key, arg_min(alias, (term_id, place)) AS alias, min((term_id, place)) AS pos FROM a WHERE alias <> '' GROUP BY key, lower(alias)),
+  l AS (SELECT o.key, string_agg(alias, ',' ORDER BY pos) AS aliases FROM o JOIN h USING (key) WHERE alias <> term GROUP BY o.key)
+  SELECT term, slot, score, word_boundary, coalesce(aliases, '') AS aliases, CAST(n AS BIGINT) AS n_rows FROM h LEFT JOIN l USING (key)""")
 def term_merge_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dictionary.merged_terms(table(spark, sf_dir, "ac_terms")).select("term", "score", F.array_join("aliases", ",").alias("aliases"), "n_rows")
+    return dictionary.merged_terms(table(spark, sf_dir, "ac_terms"), order="term_id").select("term", "slot", "score", "word_boundary", F.array_join("aliases", ",").alias("aliases"), "n_rows")
 
 
 @register("""SELECT s_name AS term, 'device' AS domain, CAST(s_suppkey AS VARCHAR) AS entity_id, 0.99e0 AS score FROM supplier WHERE s_name IS NOT NULL

@@ -42,25 +42,30 @@ def needs_model(top1: Column, top2: Column, enabled: bool, least: float, gap: fl
     return F.lit(enabled) & (top1 > 0) & F.when(top1 < least, F.lit(low_confidence)).otherwise(top1 - top2 < gap)
 
 
-def ask_model(df: DataFrame, text: str, unsure: str, make_transport: Callable[[], Transport], answer_path: str = "choices.0.message.content", most_chars: int = 600, retries: int = 1) -> DataFrame:
-    """df with `answer` and `answer_error`. Only unsure rows reach the transport, each at most once; errors stay in the row."""
+def ask_model(df: DataFrame, text: str, unsure: str, make_transport: Callable[[], Transport], answer_path: str = "choices.0.message.content", most_chars: int | None = 600, retries: int = 1) -> DataFrame:
+    """df with `answer`, `answer_error` and `answer_cut`. Only unsure rows reach the transport, each at most once; errors stay in the row.
+
+    A model may take no more than so many characters: longer texts are cut to most_chars (60 at least) and
+    marked in answer_cut; with None they go whole.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         transport = make_transport()
         for batch in batches:
             answers, errors = [], []
+            limit = None if most_chars is None else max(60, most_chars)
             for t in batch[text]:
                 try:
-                    said = json.loads(with_retry(lambda t=t: transport({"input": (t or "")[: max(60, most_chars)]}), retries))
+                    said = json.loads(with_retry(lambda t=t: transport({"input": (t or "")[:limit]}), retries))
                     value = walk_path(said, answer_path)
                     answers.append(None if value is None else str(value))
                     errors.append(None)
                 except Exception as e:  # noqa: BLE001
                     answers.append(None)
                     errors.append(type(e).__name__)
-            yield batch.assign(answer=pd.Series(answers, dtype=object, index=batch.index), answer_error=pd.Series(errors, dtype=object, index=batch.index))
+            yield batch.assign(answer_cut=[limit is not None and len(t or "") > limit for t in batch[text]], answer=pd.Series(answers, dtype=object, index=batch.index), answer_error=pd.Series(errors, dtype=object, index=batch.index))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    asked = df.where(F.col(unsure)).mapInPandas(run, f"{fields}, answer string, answer_error string")
+    asked = df.where(F.col(unsure)).mapInPandas(run, f"{fields}, answer string, answer_error string, answer_cut boolean")
     rest = df.where(~F.coalesce(F.col(unsure), F.lit(False)))
-    return asked.unionByName(rest.withColumns({"answer": F.lit(None).cast("string"), "answer_error": F.lit(None).cast("string")}))
+    return asked.unionByName(rest.withColumns({"answer": F.lit(None).cast("string"), "answer_error": F.lit(None).cast("string"), "answer_cut": F.lit(False)}))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -18,8 +18,10 @@ from switchyard.session import is_small, materialize
 
 #: Most queries of one pass over the index; they are sent to every executor.
 MOST_QUERIES = 20_000
-#: Rows of the index in one matrix product.
-BLOCK = 4096
+#: Most tokens of the queries of one pass over the documents.
+MOST_TOKENS = 2_000_000
+#: Most rows of the index, and cells of queries x rows, that are scored at a time.
+BLOCK, CELLS = 4096, 4_000_000
 
 
 def knn(queries: DataFrame, index: DataFrame, k: int, query_id: str, item_id: str, vector: str, same: str | None = None) -> DataFrame:
@@ -48,6 +50,42 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
 
+#: Arrow types of ids.
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+
+
+class _Best:
+    """The k best items of each of n queries so far: by falling score, then item."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.k, self.scores, self.items = k, np.full((n, 0), -np.inf), None
+
+    def add(self, scores: np.ndarray, items: np.ndarray, key: Callable[[np.ndarray], np.ndarray] = lambda s: s) -> None:
+        """scores: a row per query, a column per item; -inf for what is no hit."""
+        some = np.broadcast_to(items, scores.shape)
+        both = scores if self.items is None else np.hstack([self.scores, scores])
+        named = some if self.items is None else np.hstack([self.items, some])
+        order = np.lexsort((named, -key(both)), axis=1)[:, : self.k]
+        self.scores, self.items = np.take_along_axis(both, order, 1), np.take_along_axis(named, order, 1)
+
+    def rows(self, ids: np.ndarray, query_kind: str, item_kind: str) -> pa.RecordBatch:
+        ok = self.scores.ravel() > -np.inf
+        items = np.zeros((len(ids), 0)) if self.items is None else self.items
+        q = np.repeat(ids, self.scores.shape[1])
+        columns = [pa.array(v.ravel()[ok].tolist(), _ARROW.get(kind, pa.string())) for v, kind in ((q, query_kind), (items, item_kind))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(self.scores.ravel()[ok])], names=["q", "i", "score"])
+
+
+def _block(n_queries: int) -> int:
+    """Items that are scored at a time."""
+    return max(1, min(BLOCK, CELLS // max(1, n_queries)))
+
+
+def _plain(column: pa.Array) -> np.ndarray:
+    values = column.to_numpy(zero_copy_only=False)
+    return values.astype(str) if values.dtype == object else values
+
+
 def _knn_pass(queries: DataFrame, index: DataFrame, k: int, same: bool) -> DataFrame:
     rows = queries.orderBy("q").collect()  # at most MOST_QUERIES, counted
     ids = np.array([r.q for r in rows], dtype=np.int64)
@@ -57,38 +95,29 @@ def _knn_pass(queries: DataFrame, index: DataFrame, k: int, same: bool) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix, groups = sent.value
-        best_s = np.full((len(ids), 0), -np.inf)
-        best_i = np.zeros((len(ids), 0), dtype=np.int64)
+        best = _Best(len(ids), k)
         for batch in batches if len(ids) else ():
-            for begin in range(0, batch.num_rows, BLOCK):
-                b = batch.slice(begin, BLOCK)
+            for begin in range(0, batch.num_rows, _block(len(ids))):
+                b = batch.slice(begin, _block(len(ids)))
                 items = b.column(0).to_numpy(zero_copy_only=False)
-                vectors = _unit(np.array(b.column(1).to_pylist(), dtype=float))
+                vectors = _unit(b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(items), -1))
                 scores = matrix @ vectors.T
                 scores[ids[:, None] == items[None, :]] = -np.inf
                 if groups is not None:
                     scores[groups[:, None] != np.array(b.column(2).to_pylist(), dtype=object)[None, :].astype(str)] = -np.inf
-                best_s, best_i = np.hstack([best_s, scores]), np.hstack([best_i, np.broadcast_to(items, scores.shape)])
-                order = np.lexsort((best_i, -best_s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_i, order, 1)
-        q = np.repeat(ids, best_s.shape[1])
-        ok = best_s.ravel() > -np.inf
-        yield pa.RecordBatch.from_arrays([pa.array(q[ok]), pa.array(best_i.ravel()[ok]), pa.array(best_s.ravel()[ok])], names=["q", "i", "score"])
+                best.add(scores, items)
+        yield best.rows(ids, "bigint", "bigint")
 
     return index.mapInArrow(run, "q bigint, i bigint, score double")
 
 
-def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, token, tf, dl: the inverted index, one row per token of a document."""
-    words = F.filter(F.split(F.lower(F.col(text)), TOKENS), lambda x: x != "")
-    each = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), words.alias("w"))
-    each = each.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("token"))
-    return each.groupBy("doc_id", "token").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), TOKENS), lambda x: x != "")
 
 
 def bm25(queries: DataFrame, docs: DataFrame, query_id: str, query_text: str, doc_id: str, text: str, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """query_id, doc_id, score, rank by BM25 over distinct query tokens; statistics over all documents."""
-    return top_k(_bm25_scores(queries, docs, query_id, query_text, doc_id, text, k1, b), ["query_id"], [F.round("score", 6).desc(), F.col("doc_id")], k)
+    return bm25_fields(queries, docs, query_id, query_text, doc_id, {text: 1.0}, k, k1, b)
 
 
 def bm25_fields(queries: DataFrame, docs: DataFrame, query_id: str, query_text: str, doc_id: str, fields: dict[str, float], k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -96,23 +125,89 @@ def bm25_fields(queries: DataFrame, docs: DataFrame, query_id: str, query_text:
 
     Each field is an index with its own statistics, its BM25 times its boost; fields of a struct are named
     with a dot, and the parts of an array are one text. A document without a field does not count in it.
+
+    queries x documents in blocks, as for vectors: the queries' distinct tokens, counted, are sent along, the
+    documents stay where they are, and only k rows per query leave a partition, so frequent words need no
+    shuffle. More queries than MOST_QUERIES, or than have MOST_TOKENS tokens, are worked off in several passes.
     """
-    texts = [F.nullif(F.concat_ws(" ", F.col(f)), F.lit("")) if kind.startswith("array") else F.col(f) for f in fields for kind in [dict(docs.select(F.col(f).alias("f")).dtypes)["f"]]]
-    flat = docs.select(F.col(doc_id).alias("_doc"), *(t.alias(f"_f{i}") for i, t in enumerate(texts)))
-    each = [_bm25_scores(queries, flat, query_id, query_text, "_doc", f"_f{i}", k1, b).withColumn("score", F.col("score") * float(boost)) for i, boost in enumerate(fields.values())]
-    best = reduce(DataFrame.unionByName, each).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
-    return top_k(best, ["query_id"], [F.round("score", 6).desc(), F.col("doc_id")], k)
-
-
-def _bm25_scores(queries: DataFrame, docs: DataFrame, query_id: str, query_text: str, doc_id: str, text: str, k1: float, b: float) -> DataFrame:
-    index = postings(docs, doc_id, text)
-    stats = docs.where(F.col(text).isNotNull()).select(F.size(F.filter(F.split(F.lower(F.col(text)), TOKENS), lambda x: x != "")).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = index.groupBy("token").agg(F.count("*").alias("df"))
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokenize(F.col(query_text))).alias("token"))
-    # One row of statistics, so the cross join is a projection.
-    terms = asked.join(df, "token").crossJoin(F.broadcast(stats)).withColumn("idf", F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    part = F.col("idf") * F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
-    return terms.join(index, "token").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+    kinds = [dict(docs.select(F.col(f).alias("f")).dtypes)["f"] for f in fields]
+    texts = [F.nullif(F.concat_ws(" ", F.col(f)), F.lit("")) if kind.startswith("array") else F.col(f) for f, kind in zip(fields, kinds)]
+    words = docs.select(F.col(doc_id).alias("i"), *(_words(t).alias(f"w{n}") for n, t in enumerate(texts)))
+    asked = materialize(queries.select(F.col(query_id).alias("q"), tokenize(F.col(query_text)).alias("tokens")))
+    n_queries, n_tokens = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()
+    passes = max(1, -(-n_queries // MOST_QUERIES), -(-n_tokens // MOST_TOKENS))
+    terms = asked.select(F.explode("tokens").alias("token")).distinct()
+    terms = F.broadcast(terms) if is_small(terms) else terms
+    counts = []
+    for n in range(len(fields)):
+        each = words.where(F.col(f"w{n}").isNotNull())
+        frequency = each.select(F.explode(F.array_distinct(f"w{n}")).alias("token")).join(terms, "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+        total = each.agg(F.count("*"), F.coalesce(F.avg(F.size(f"w{n}")), F.lit(1.0))).first()
+        counts.append((materialize(frequency), *total))
+    part = F.pmod(F.xxhash64("q"), F.lit(passes))
+    hits = [_bm25_pass(asked.where(part == p), words, counts, list(fields.values()), k, k1, b) for p in range(passes)]
+    best = top_k(reduce(DataFrame.unionByName, hits), ["q"], [F.round("score", 6).desc(), F.col("i")], k)
+    return best.select(F.col("q").alias("query_id"), F.col("i").alias("doc_id"), "score", "rank")
+
+
+def _bm25_pass(asked: DataFrame, words: DataFrame, counts: list[tuple[DataFrame, int, float]], boosts: list[float], k: int, k1: float, b: float) -> DataFrame:
+    rows = asked.orderBy("q").collect()  # bounded by MOST_QUERIES and MOST_TOKENS, counted
+    ids = np.array([r.q for r in rows])
+    vocabulary = {t: i for i, t in enumerate(sorted({t for r in rows for t in r.tokens}))}
+    pairs = np.array([(vocabulary[t], q) for q, r in enumerate(rows) for t in r.tokens], dtype=np.int64).reshape(-1, 2)
+    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+    starts = np.searchsorted(pairs[:, 0], np.arange(len(vocabulary) + 1))
+    here = asked.select(F.explode("tokens").alias("token")).distinct()
+    idf = np.zeros((len(boosts), len(vocabulary)))
+    for n, (frequency, total, _) in enumerate(counts):
+        for r in frequency.join(F.broadcast(here) if len(vocabulary) <= MOST_TOKENS else here, "token", "left_semi").toLocalIterator():
+            idf[n, vocabulary[r.token]] = np.log(1 + (total - r.df + 0.5) / (r.df + 0.5))
+    # Words of many queries are scored as a matrix product, the others posting by posting.
+    asks = np.diff(starts)
+    common = np.argsort(-asks, kind="stable")[: max(1, CELLS // max(1, len(ids)))]
+    common = common[asks[common] * 50 >= len(ids)]
+    sent = asked.sparkSession.sparkContext.broadcast((ids, vocabulary, pairs[:, 1].copy(), starts, idf, common, [c[2] for c in counts]))
+    kind, item_kind = dict(asked.dtypes)["q"], dict(words.dtypes)["i"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vocabulary, askers, starts, idf, common, averages = sent.value
+        best, n, asks = _Best(len(ids), k), len(ids), np.diff(starts)
+        place = np.full(len(asks), -1)
+        place[common] = np.arange(len(common))
+        dense = np.zeros((len(common), n))
+        for row, t in enumerate(common):
+            dense[row, askers[starts[t] : starts[t + 1]]] = 1.0
+        for batch in batches if n and len(asks) else ():
+            for begin in range(0, batch.num_rows, _block(n)):
+                piece = batch.slice(begin, _block(n))
+                size, scores = piece.num_rows, np.zeros((n, piece.num_rows))
+                for f, boost in enumerate(boosts):
+                    column = piece.column(1 + f)
+                    length = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+                    coded = column.flatten().dictionary_encode()
+                    known = np.array([vocabulary.get(t, -1) for t in coded.dictionary.to_pylist()], dtype=np.int64)
+                    token = known[coded.indices.to_numpy(zero_copy_only=False)] if len(known) else np.zeros(0, dtype=np.int64)
+                    doc = np.repeat(np.arange(size), length)[token >= 0]
+                    key, tf = np.unique(doc * len(asks) + token[token >= 0], return_counts=True)
+                    doc, token = key // len(asks), key % len(asks)
+                    weight = boost * idf[f, token] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[doc] / averages[f]))
+                    mine = np.zeros((n, size))
+                    often = place[token] >= 0
+                    if often.any():
+                        matrix = np.zeros((size, len(common)))
+                        matrix[doc[often], place[token[often]]] = weight[often]
+                        mine += (matrix @ dense).T
+                    doc, token, weight = doc[~often], token[~often], weight[~often]
+                    if len(token):
+                        times = asks[token]
+                        within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                        who = askers[np.repeat(starts[token], times) + within]
+                        mine += np.bincount(who * size + np.repeat(doc, times), weights=np.repeat(weight, times), minlength=n * size).reshape(n, size)
+                    scores = np.maximum(scores, mine)
+                best.add(np.where(scores > 0, scores, -np.inf), _plain(piece.column(0)), lambda s: np.round(s, 6))
+        yield best.rows(ids, kind, item_kind)
+
+    return words.mapInArrow(run, f"q {kind}, i {item_kind}, score double")
 
 
 def lexical_scores(pairs: DataFrame, norm: str, keywords: str, examples: str) -> DataFrame:

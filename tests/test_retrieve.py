@@ -68,3 +68,27 @@ def test_resolvers(spark):
     a, b, c = df.select(retrieve.resolve_devices(F.col("t"), words).alias("d"), retrieve.resolve_regions(F.col("t"), regions).alias("r")).collect()
     assert [tuple(x) for x in a.d] == [("dev_10_0_0_1", "设备10.0.0.1", 0.9), ("dev_olt_01", "OLT-01", 0.84)]
     assert [tuple(x) for x in a.r] == [("region_bj", "北京", 0.88), ("region_sh", "上海", 0.88)] and not (b.d or b.r or c.d or c.r)
+
+
+def test_bm25_against_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{i}" for i in range(60)]
+    texts = {i: " ".join(rng.choice(vocabulary, size=rng.integers(1, 30), p=np.r_[0.3, np.full(59, 0.7 / 59)])) for i in range(200)} | {200: None, 201: ""}
+    docs = spark.createDataFrame(list(texts.items()), "id bigint, t string").repartition(3)
+    words = {i: t.split() for i, t in texts.items() if t is not None}
+    n, average = len(words), np.mean([len(w) for w in words.values()])
+    df = {v: sum(v in w for w in words.values()) for v in vocabulary}
+
+    def score(q, d):
+        return sum(np.log(1 + (n - df[v] + 0.5) / (df[v] + 0.5)) * d.count(v) * 2.2 / (d.count(v) + 1.2 * (0.25 + 0.75 * len(d) / average)) for v in set(q))
+
+    for queries, cells in ((20_000, 4_000_000), (7, 300)):
+        monkeypatch.setattr(retrieve, "MOST_QUERIES", queries)
+        monkeypatch.setattr(retrieve, "CELLS", cells)
+        got = {}
+        for r in retrieve.bm25(docs.where("id % 10 = 0"), docs, "id", "t", "id", "t", 4).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.doc_id, round(r.score, 6)))
+        for q in range(0, 200, 10):
+            expected = sorted(((round(score(words[q], d), 6), -i) for i, d in words.items()), reverse=True)[:4]
+            assert [(-i, s) for s, i in expected] == [(i, s) for i, s in got[q]]
+    assert retrieve.bm25(docs.limit(0), docs, "id", "t", "id", "t", 4).count() == 0 and retrieve.bm25(docs, docs.limit(0), "id", "t", "id", "t", 4).count() == 0

@@ -136,14 +136,15 @@ def bm25_fields(queries: DataFrame, docs: DataFrame, query_id: str, query_text:
     asked = materialize(queries.select(F.col(query_id).alias("q"), tokenize(F.col(query_text)).alias("tokens")))
     n_queries, n_tokens = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()
     passes = max(1, -(-n_queries // MOST_QUERIES), -(-n_tokens // MOST_TOKENS))
-    terms = asked.select(F.explode("tokens").alias("token")).distinct()
+    # A blank, which no token holds, stands for the document itself, so that one pass gives all statistics.
+    terms = asked.select(F.explode("tokens").alias("token")).distinct().unionByName(asked.sparkSession.createDataFrame([(" ",)], "token string"))
     terms = F.broadcast(terms) if is_small(terms) else terms
     counts = []
     for n in range(len(fields)):
-        each = words.where(F.col(f"w{n}").isNotNull())
-        frequency = each.select(F.explode(F.array_distinct(f"w{n}")).alias("token")).join(terms, "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
-        total = each.agg(F.count("*"), F.coalesce(F.avg(F.size(f"w{n}")), F.lit(1.0))).first()
-        counts.append((materialize(frequency), *total))
+        each = words.where(F.col(f"w{n}").isNotNull()).select(F.size(f"w{n}").alias("dl"), F.explode(F.array_append(F.array_distinct(f"w{n}"), F.lit(" "))).alias("token"))
+        frequency = materialize(each.join(terms, "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"), F.sum("dl").alias("dl")))
+        total = frequency.where("token = ' '").first()
+        counts.append((frequency.where("token <> ' '"), total.df if total else 0, total.dl / total.df if total and total.dl else 1.0))
     part = F.pmod(F.xxhash64("q"), F.lit(passes))
     hits = [_bm25_pass(asked.where(part == p), words, counts, list(fields.values()), k, k1, b) for p in range(passes)]
     best = top_k(reduce(DataFrame.unionByName, hits), ["q"], [F.round("score", 6).desc(), F.col("i")], k)

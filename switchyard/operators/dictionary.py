@@ -7,10 +7,12 @@ counted and sent along; more terms than MOST_TERMS are worked off in parts, one
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from switchyard.functions.text import clamp, first_non_blank, uni_trim
@@ -22,12 +24,16 @@ TERM_FIELDS = ("term", "domain", "slot", "value", "entity_id", "entity_name")
 
 
 def patterns(terms: DataFrame, least_length: int = 2) -> DataFrame:
-    """Every spelling (term and aliases, trimmed, at least least_length long) with its term's fields, best per key."""
+    """Every spelling (term and aliases, trimmed, at least least_length long) with its term's fields, best per key. `ord` is the
+    first place of the key in the dictionary, by the column `ord` of terms if it has one, else 0."""
+    place = F.col("ord").cast("bigint") if "ord" in terms.columns else F.lit(0).cast("bigint")
     spelled = F.concat(F.array("term"), F.coalesce(F.col("aliases"), F.array().cast("array<string>")))
-    each = terms.select(F.explode(F.array_distinct(F.transform(spelled, uni_trim))).alias("pattern"), *TERM_FIELDS, clamp(F.col("score")).alias("score"), "word_boundary")
+    each = terms.select(F.explode(F.array_distinct(F.transform(spelled, uni_trim))).alias("pattern"), *TERM_FIELDS, clamp(F.col("score")).alias("score"), "word_boundary", place.alias("ord"))
     each = each.where(F.length("pattern") >= least_length).withColumn("folded", F.lower("pattern"))
     key = ["folded", "domain", "slot", "value", "entity_id"]
-    return top_k(each, key, [F.col("score").desc(), F.col("pattern"), F.col("term"), F.col("entity_name")], 1, "_r").drop("_r", "pattern")
+    each = each.withColumn("_first", F.min("ord").over(W.partitionBy(*key)))
+    best = top_k(each, key, [F.col("score").desc(), F.col("pattern"), F.col("term"), F.col("entity_name")], 1, "_r")
+    return best.withColumn("ord", F.col("_first")).drop("_r", "_first", "pattern")
 
 
 def _is_word(c: str) -> bool:
@@ -39,7 +45,7 @@ def find_terms(texts: DataFrame, text_id: str, text: str, found: DataFrame, most
 
     Letter case is ignored; overlapping matches are all kept. A match within ASCII word characters is
     dropped if its term asks for word boundaries, or says nothing and is ASCII itself. `most` keeps the first
-    matches of a text in order of end, then longest.
+    matches of a text in order of end, then longest, then place in the dictionary.
     """
     rows = found.select("folded", "word_boundary").groupBy("folded").agg(F.coalesce(F.bool_or(~F.coalesce("word_boundary", F.lit(True))), F.lit(False)).alias("loose"))
     n_parts = max(1, -(-rows.count() // MOST_TERMS))
@@ -52,21 +58,33 @@ def find_terms(texts: DataFrame, text_id: str, text: str, found: DataFrame, most
     strict = F.coalesce(F.col("word_boundary"), ~F.col("folded").rlike(r"[^\x00-\x7f]"))
     full = full.where(~(strict & F.col("inside"))).drop("inside")
     if most is not None:
-        full = top_k(full, ["text_id"], [F.col("last"), F.col("first"), F.col("folded"), F.col("domain"), F.col("slot"), F.col("value"), F.col("entity_id")], most, "_r").drop("_r")
+        full = top_k(full, ["text_id"], [F.col("last"), F.col("first"), F.col("ord"), F.col("folded"), F.col("domain"), F.col("slot"), F.col("value"), F.col("entity_id")], most, "_r").drop("_r")
     return full.withColumnRenamed("text_id", text_id)
 
 
-def _automaton_pass(texts: DataFrame, some: list[str]) -> DataFrame:
-    sent = texts.sparkSession.sparkContext.broadcast(some)
+#: The automaton that a worker built last, by name.
+_BUILT: dict[str, object] = {}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _automaton(name: str, patterns_: list[str]):
+    if name not in _BUILT:
         import ahocorasick
 
         machine = ahocorasick.Automaton()
-        for p in sent.value:
+        for p in patterns_:
             machine.add_word(p, p)
         if len(machine):
             machine.make_automaton()
+        _BUILT.clear()
+        _BUILT[name] = machine
+    return _BUILT[name]
+
+
+def _automaton_pass(texts: DataFrame, some: list[str]) -> DataFrame:
+    sent, name = texts.sparkSession.sparkContext.broadcast(some), uuid.uuid4().hex
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        machine = _automaton(name, sent.value)
         for batch in batches:
             out = []
             for key, t in zip(batch["text_id"], batch["text"]):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from switchyard.functions.text import uni_trim
@@ -88,3 +88,12 @@ def rendered_trace(steps: Column, level: str = "compact") -> Column:
 
 def case_weight(kind: Column, weights: dict[str, float], default: float = 1.0) -> Column:
     return F.coalesce(*(F.when(kind == k, F.lit(w)) for k, w in weights.items()), F.lit(default))
+
+
+def benchmark_row(cases: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """id and `row`, the case as JSON for an evaluation set: expected without nulls, its weight by type, and role, tenant and
+    context only where they say something."""
+    said = lambda c: F.when(F.coalesce(uni_trim(F.col(c)), F.lit("")) != "", F.col(c))
+    tags = F.coalesce("tags", F.array().cast("array<string>"))
+    row = F.struct("id", "text", "expected", tags.alias("tags"), case_weight(F.col("expected.type"), weights).alias("weight"), said("role").alias("role"), said("tenant_id").alias("tenant_id"), "context")
+    return cases.select("id", F.to_json(row).alias("row"))

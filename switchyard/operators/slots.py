@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from switchyard.functions.scoring import is_present
+from switchyard.functions.text import round_count
 
 
 def present(slots: Column) -> Column:
@@ -43,8 +44,40 @@ def policy_value(scene: Column, slot: Column, anything: Column) -> Column:
     return F.coalesce(scene, slot, anything)
 
 
+def with_policies(asked: DataFrame, policies: DataFrame, values: list[str]) -> DataFrame:
+    """asked (scene_id, slot, ...) with each of values from the policy of its scene and slot, else of its slot in any scene, else
+    of `*`. policies: scene_id (null: any), slot, values. Each level is a left join by key; the last is one row."""
+    out = asked
+    levels = [(policies.where("scene_id is not null"), ["scene_id", "slot"]), (policies.where("scene_id is null and slot <> '*'").drop("scene_id"), ["slot"])]
+    for n, (level, keys) in enumerate(levels):
+        out = out.join(level.select(*keys, *(F.col(v).alias(f"_{n}_{v}") for v in values)), keys, "left")
+    anything = policies.where("scene_id is null and slot = '*'").agg(*(F.first(v).alias(f"_2_{v}") for v in values))
+    out = out.crossJoin(F.broadcast(anything))
+    return out.withColumns({v: policy_value(*(F.col(f"_{n}_{v}") for n in range(3))) for v in values}).drop(*(f"_{n}_{v}" for n in range(3) for v in values))
+
+
+def has_signal(entities: Column, names: Column) -> Column:
+    """Whether any of the named entities (of a map) is there and not blank."""
+    return F.coalesce(F.exists(names, lambda n: F.coalesce(F.trim(F.try_element_at(entities, n)) != "", F.lit(False))), F.lit(False))
+
+
+def coerced_context(context: Column, default_most: int = 2) -> Column:
+    """A request's context, JSON of any shape, as a struct: scene and flow_type if they are texts, slots if an object (values as JSON),
+    pending_slots if an array, and round counters, 0 and default_most where they are no numbers."""
+    v = F.try_parse_json(context)
+    at = lambda path, kind: F.try_variant_get(v, path, kind)
+    text_of = lambda name: F.when(F.schema_of_variant(at(f"$.{name}", "variant")) == "STRING", at(f"$.{name}", "string"))
+    slots = F.when(F.coalesce(F.schema_of_variant(at("$.slots", "variant")), F.lit("")).startswith("OBJECT"), F.from_json(F.get_json_object(context, "$.slots"), "map<string,string>"))
+    pending = F.when(F.coalesce(F.schema_of_variant(at("$.pending_slots", "variant")), F.lit("")).startswith("ARRAY"), at("$.pending_slots", "array<string>"))
+    empty = F.create_map().cast("map<string,string>")
+    return F.struct(
+        text_of("scene").alias("scene"), text_of("flow_type").alias("flow_type"), F.coalesce(slots, empty).alias("slots"), F.coalesce(pending, F.array().cast("array<string>")).alias("pending_slots"),
+        round_count(at("$.clarify_round", "string"), 0, 0).alias("clarify_round"), round_count(at("$.max_clarify_round", "string"), 1, default_most).alias("max_clarify_round"),
+    )
+
+
 def ask_score(base: Column, fits: Column, inferable: Column, defaultable: Column, cost: Column) -> Column:
-    """Score of asking for a slot: far down if its condition fails, else up if it can be inferred, down for its cost."""
+    """Weights as they must be for the same order of questions. Score of asking for a slot: far down if its condition fails, else up if it can be inferred, down for its cost."""
     worth = base + F.when(inferable, 0.4).otherwise(0.0) - F.when(defaultable, 0.1).otherwise(0.0) - 0.2 * cost
     return F.when(fits, worth).otherwise(base - 100.0)
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from switchyard.functions.text import clean_list, first_non_blank
+from switchyard.sources.readers import capability_list, load_config
 
 
 def _field(df: DataFrame, path: str, kind: str) -> Column:
@@ -28,6 +31,18 @@ def _template_id(intents: DataFrame) -> Column:
     return F.coalesce(first_non_blank(_field(intents, "template.template_id", "string")), _field(intents, "template_id", "string"))
 
 
+def _top_level(schema: str) -> list[str]:
+    """Fields of a schema text, cut at the commas outside of brackets."""
+    out, depth = [""], 0
+    for c in schema:
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return [x.strip() for x in out]
+
+
 def scenes(capabilities: DataFrame) -> DataFrame:
     """Enabled capabilities as scenes, with their defaults; lists trimmed and without blanks."""
     c = capabilities.where(F.coalesce(F.col("enabled"), F.lit(True)))
@@ -120,3 +135,36 @@ def require_none(found: DataFrame, show: int = 5) -> None:
     rows = found.orderBy("rule", "key").limit(show).collect()
     if rows:
         raise ValueError("; ".join(f"{r.rule}: {r.key} ({r.n})" for r in rows))
+
+
+INTENT = "case_id string, label string, text string, route_type string, tags array<string>, priority int, enabled boolean, template_id string, examples array<string>, keywords array<string>, negative_keywords array<string>, template struct<template_id:string,examples:array<string>,keywords:array<string>,negative_keywords:array<string>,enabled:boolean,slot_schema:struct<required:array<string>,optional:array<string>>>"
+CAPABILITY = f"capability_id string, flow_type string, router_priority int, description string, entry_phrases array<string>, keywords array<string>, examples array<string>, required_slots array<string>, enabled boolean, version string, created_at timestamp, deleted_at timestamp, recommendation_case_id string, recommendations array<struct<label:string,intent:string>>, slot_policy map<string,double>, intents array<struct<{', '.join(f'{c.split()[0]}:{c.split(None, 1)[1]}' for c in _top_level(INTENT))}>>"
+
+
+@dataclass
+class App:
+    """A compiled configuration."""
+
+    scenes: DataFrame
+    templates: DataFrame
+    seeds: DataFrame
+    cases: DataFrame
+    policies: DataFrame
+    documents: dict
+
+
+def compile_app(spark: SparkSession, config: dict) -> App:
+    """The dimension tables of a configuration (capabilities, and small documents); a broken constraint raises ValueError."""
+    listed, defaults = capability_list(config["capabilities"])
+    lines = spark.createDataFrame([(json.dumps(c, ensure_ascii=False),) for c in listed], "j string")
+    capabilities = lines.select(F.from_json("j", CAPABILITY).alias("c")).select("c.*")
+    intents = capabilities.where(F.coalesce(F.col("enabled"), F.lit(True))).select("capability_id", F.inline("intents")).withColumn("intent_id", F.concat_ws("/", "capability_id", "case_id"))
+    policy = spark.createDataFrame([(defaults,)], "slot_policy map<string,double>") if defaults else None
+    documents = {k: v for k, v in config.items() if k != "capabilities"}
+    require_none(all_violations(violations("capability_unique", capabilities, F.col("capability_id"), unique=True), violations("intent_unique", intents, F.col("intent_id"), unique=True)))
+    return App(scenes(capabilities), templates(intents), seeds(intents), cases(capabilities), slot_policies(capabilities, policy), documents)
+
+
+def load_app(spark: SparkSession, folder: str, names: tuple[str, ...] = ("capabilities", "rules", "thresholds", "vector")) -> App:
+    """Reads a folder of configuration files and compiles them."""
+    return compile_app(spark, load_config(folder, names))

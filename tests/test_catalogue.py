@@ -2,11 +2,11 @@
 
 import pytest
 
-from switchyard.plans import data_catalogue, io_catalogue, prepared, request_catalogue, routing_catalogue, text_catalogue
+from switchyard.plans import data_catalogue, detail_catalogue, io_catalogue, prepared, request_catalogue, routing_catalogue, text_catalogue
 from tests.oracle import assert_same
 
-QUERIES = text_catalogue.QUERIES | data_catalogue.QUERIES | prepared.QUERIES | routing_catalogue.QUERIES | request_catalogue.QUERIES | io_catalogue.QUERIES
-SQL = text_catalogue.SQL | data_catalogue.SQL | prepared.SQL | routing_catalogue.SQL | request_catalogue.SQL | io_catalogue.SQL
+QUERIES = text_catalogue.QUERIES | data_catalogue.QUERIES | prepared.QUERIES | routing_catalogue.QUERIES | request_catalogue.QUERIES | io_catalogue.QUERIES | detail_catalogue.QUERIES
+SQL = text_catalogue.SQL | data_catalogue.SQL | prepared.SQL | routing_catalogue.SQL | request_catalogue.SQL | io_catalogue.SQL | detail_catalogue.SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

@@ -244,3 +244,20 @@ def fill_report(packed: DataFrame, specs: list[tuple[str, int]]) -> DataFrame:
     report = per.groupBy("spec_id").agg(F.sum("items").alias("n_items"), F.sum("split").alias("n_split_docs"), F.count("*").alias("n_containers"), F.sum("used").alias("n_tokens"), F.max("used").alias("most_in_one"))
     capacity = F.coalesce(*(F.when(F.col("spec_id") == s, F.lit(c)) for s, c in specs)).cast("bigint")
     return report.withColumn("capacity_tokens", capacity).withColumn("least_containers", F.ceil(F.col("n_tokens") / capacity)).withColumn("fill", F.round(F.col("n_tokens") / (F.col("n_containers") * capacity), 6))
+
+
+def violations(packed: DataFrame, sizes: DataFrame, specs: list[tuple[str, int]]) -> DataFrame:
+    """Per spec, what must not be: containers above the capacity, documents split without need, documents of which tokens are missing
+    or placed twice, and gaps in the numbers of containers."""
+    capacity = F.coalesce(*(F.when(F.col("spec_id") == s, F.lit(c)) for s, c in specs)).cast("bigint")
+    used = packed.groupBy("spec_id", "container").agg(F.sum("n_tokens").alias("used"))
+    full = used.groupBy("spec_id").agg(F.count(F.when(F.col("used") > capacity, 1)).alias("n_above"), (F.max("container") + 1 - F.count("*")).alias("n_gaps"))
+    placed = packed.groupBy("spec_id", "doc_id").agg(F.sum("n_tokens").alias("placed"), F.count("*").alias("pieces"), F.countDistinct("piece").alias("different"))
+    every = F.explode(F.array(*(F.lit(s) for s, _ in specs)))
+    wanted = sizes.where("n_tokens > 0").select(every.alias("spec_id"), "doc_id", F.col("n_tokens").alias("whole"))
+    both = wanted.join(placed, ["spec_id", "doc_id"], "full")
+    wrong = both.groupBy("spec_id").agg(
+        F.count(F.when(F.coalesce(F.col("whole") != F.col("placed"), F.lit(True)) | (F.col("pieces") != F.col("different")), 1)).alias("n_wrong"),
+        F.count(F.when((F.col("pieces") > 1) & (F.col("whole") <= capacity), 1)).alias("n_split"),
+    )
+    return full.join(wrong, "spec_id", "full").select("spec_id", "n_above", "n_gaps", "n_wrong", "n_split")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from switchyard.llm import confusables, dedup, mixing, overlap, packing, tokens
 from switchyard.llm import sentences as sentence_units
-from switchyard.session import spread, table
+from switchyard.session import materialize, spread, table
 
 
 def _visible_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +88,21 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_units.sentences(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_consistent": p1_consistent, "p1_classes": p1_classes, "p1_members": p1_members, "p2_found": p2_found, "p2_report": p2_report, "p5_found": p5_found, "p5_collapsed": p5_collapsed, "p7_assignment": p7_assignment, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found}
+def p7_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes, specs = materialize(_sizes(spark, sf_dir)), _specs(spark, sf_dir)
+    return packing.violations(packing.pack(sizes, specs), sizes, specs)
+
+
+def p8_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.violations(materialize(_sizes(spark, sf_dir, "source")), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentence_units.visible_per_document(docs, "doc_id", "text", p9_found(spark, sf_dir))
+
+
+QUERIES = {"p1_found": p1_found, "p1_consistent": p1_consistent, "p1_classes": p1_classes, "p1_members": p1_members, "p2_found": p2_found, "p2_report": p2_report, "p5_found": p5_found, "p5_collapsed": p5_collapsed, "p7_assignment": p7_assignment, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p7_violations": p7_violations, "p8_violations": p8_violations, "p9_visible": p9_visible}
 _FORM = r"lower(upper(regexp_replace(@, '[\s\x{3000}\x{a0}\p{P}]', '', 'g')))"
 _GROUPS = f"""
   WITH leaf AS (SELECT s.row_id, list_sort(list(t.fullkey || '=' || CASE WHEN t.type IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN CAST(CAST(t.atom AS DOUBLE) AS VARCHAR) ELSE t.type || coalesce(CAST(t.atom AS VARCHAR), '') END)) AS slots
@@ -98,4 +112,7 @@ _GROUPS = f"""
 SQL: dict[str, str] = {
     "p5_found": _GROUPS + " SELECT lo AS row_id_lo, row_id AS row_id_hi FROM g WHERE row_id <> lo",
     "p5_collapsed": _GROUPS + ", n AS (SELECT lo AS row_id, count(*) AS n_copies FROM g GROUP BY lo) SELECT s.*, n_copies FROM seed_cases_template s JOIN n USING (row_id)",
+    "p7_violations": "SELECT spec_id, CAST(0 AS BIGINT) AS n_above, CAST(0 AS BIGINT) AS n_gaps, CAST(0 AS BIGINT) AS n_wrong, CAST(0 AS BIGINT) AS n_split FROM pack_specs",
+    "p8_violations": "SELECT source, CAST(0 AS BIGINT) AS n_above, CAST(0 AS BIGINT) AS n_uneven, false AS off FROM mix_targets",
+    "p9_visible": r"""SELECT doc_id, CAST(length(v) AS BIGINT) AS n_visible, CAST(0 AS BIGINT) AS n_bad FROM (SELECT doc_id, regexp_replace(text, '[\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]', '', 'g') AS v FROM documents) WHERE v <> ''""",
 }

@@ -113,3 +113,23 @@ def test_poisson_mean_of_large_caps():
         assert abs(sum(1 - p for p in M._cut_cdf(mean, cap)) - rate) < 1e-6
     (plan,) = M.plan_mix([("tiny", 0.8, 2000)], {"tiny": 10}, 10_000)
     assert not plan.limited and abs(sum(1 - p for p in plan.cdf) - 800) < 1e-6
+
+
+def test_many_sources_are_joined(spark, monkeypatch):
+    """Beyond the bound for sending the plans along the same documents are used."""
+    sizes = spark.range(2000).selectExpr("id as doc_id", "concat('s', id % 40) as source", "1 + id % 9 as n_tokens")
+    targets = spark.createDataFrame([(f"s{i}", 0.02 if i < 30 else None, 3 if i != 5 else None) for i in range(41)], "source string, target_share double, max_repeats int")
+    used = lambda: sorted((r.doc_id, r.copy) for r in M.mix(sizes, targets, 6000).collect())
+    sent = used()
+    monkeypatch.setattr(M, "MOST_STEPS", 0)
+    assert sent and used() == sent
+    report = {r.source: r for r in M.mix_report(sizes, targets, 6000).collect()}
+    assert len(report) == 41 and report["s35"].n_uses == 0 and report["s5"].n_uses == 0 and report["s5"].limited
+
+
+def test_violations_are_seen(spark):
+    sizes = spark.createDataFrame([(1, 5), (2, 5), (3, 12)], "doc_id bigint, n_tokens bigint")
+    good = P.pack(sizes, [("a", 10)])
+    assert tuple(P.violations(good, sizes, [("a", 10)]).first())[1:] == (0, 0, 0, 0)
+    bad = spark.createDataFrame([("a", 0, 1, 0, 2, 4), ("a", 0, 1, 1, 2, 1), ("a", 0, 2, 0, 1, 5), ("a", 2, 3, 0, 2, 10)], "spec_id string, container bigint, doc_id bigint, piece int, n_pieces int, n_tokens bigint")
+    assert tuple(P.violations(bad, sizes, [("a", 8)]).first())[1:] == (2, 1, 1, 1)

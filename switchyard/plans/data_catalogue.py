@@ -12,7 +12,7 @@ from switchyard.operators import evaluate, ranking, retrieve, seeds, slots
 from switchyard.plans import compiler
 from switchyard.plans.registry import Register
 from switchyard.plans.text_catalogue import _GAPS, _GUARD, _POLICY, _ROUTED, GOLDEN, guard, norm_sql, policy, routed, scope_gaps, tokens_sql
-from switchyard.session import shared_folder, spread, table
+from switchyard.session import is_small, shared_folder, spread, table
 from switchyard.streaming import windows
 
 register = Register()
@@ -99,7 +99,8 @@ def candidate_merge_best(spark: SparkSession, sf_dir: str) -> DataFrame:
   row_number() OVER (PARTITION BY n_name ORDER BY s_acctbal DESC, s_suppkey) AS rn FROM supplier JOIN nation ON s_nationkey = n_nationkey) WHERE rn <= 3""")
 def resolver_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates per nation, scores divided by the best."""
-    s = table(spark, sf_dir, "supplier").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    nations = table(spark, sf_dir, "nation")
+    s = table(spark, sf_dir, "supplier").join(F.broadcast(nations) if is_small(nations) else nations, F.col("s_nationkey") == F.col("n_nationkey"))
     best = ranking.top_k(s, ["n_name"], [F.col("s_acctbal").desc(), F.col("s_suppkey")], 3)
     return ranking.max_normalise(best, ["n_name"], "s_acctbal", "s").select("n_name", "s_suppkey", F.round("s", 6).alias("score"))
 

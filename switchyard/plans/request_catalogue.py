@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from switchyard.functions import extract, scoring, text
-from switchyard.operators import dictionary, domains, matching, options, ranking, slots
+from switchyard.operators import dictionary, domains, matching, options, ranking, routing, slots
 from switchyard.plans import compiler, constraints
 from switchyard.plans.registry import Register
-from switchyard.plans.text_catalogue import _SPELL, GOLDEN, _case_sql, _matches, norm_sql, tokens_sql
+from switchyard.plans.text_catalogue import _SPELL, GOLDEN, _case_sql, _matches, guard, norm_sql, tokens_sql, trim_sql
 from switchyard.session import is_small, spread, table
 
 register = Register()
@@ -144,6 +144,83 @@ def template_vector_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.with_vector(pairs, hits, "id", "template_id").select("id", "template_id", F.round("vector", 6).alias("vector"))
 
 
+# ---------------------------------------------------------------- the whole way of a request
+
+_BLOCK_WORDS, _UNKNOWN_WORDS, _UNSUPPORTED_WORDS, _ABSENT_WORDS, _DENIED = ["delete", "割接"], ["股票", "tarif"], ["u.s."], ["192.0.2."], ("viewer", ["cpu", "内存"])
+_FLOWS = ["query", "report", "analysis"]
+#: Slot of a scene and the entity that fills it.
+_FILLED_BY = {"time_range": "time_range", "metric": "metric", "object_scope": "object_scope", "device_id": "device_ip", "region_id": "region_hint"}
+
+
+def _permitted(df: DataFrame) -> DataFrame:
+    """Blocked, unknown, unsupported, denied to the role, not at hand, in this order."""
+    role, words = _DENIED
+    rule = lambda ws, why: F.when(text.contains_any(F.col("norm"), ws), why)
+    denied = F.when((F.col("role") == role) & text.contains_any(F.col("norm"), words), "permission_denied")
+    return df.withColumn("_d", F.concat(F.lit("refuse:"), F.coalesce(rule(_BLOCK_WORDS, "policy_blocked"), rule(_UNKNOWN_WORDS, "unknown_domain"), rule(_UNSUPPORTED_WORDS, "unsupported_domain"), denied, rule(_ABSENT_WORDS, "data_unavailable"))))
+
+
+def _in_scene(df: DataFrame) -> DataFrame:
+    """The flow asked for or found, its scenes, and the gate over them."""
+    one = -F.coalesce(F.col("left")[0]["minus"], F.lit(0.0))
+    two = -F.coalesce(F.get("left", F.lit(1))["minus"], F.lit(0.0))
+    # Whoever names a flow is taken at the best scene of it; others are asked if two are as good.
+    g = F.when(F.col("context.flow_type").isNull(), ranking.gate(one, one - two, 0.3, 0.08)).otherwise(ranking.gate(one, one - two, 0.3, 0.0))
+    options_ = F.array_join(F.transform(F.slice("left", 1, 3), lambda x: x["scene_id"]), "|")
+    return df.withColumn("_d", F.when(F.col("flow").isNull(), "refuse:unknown_domain").when(F.size("left") == 0, "refuse:unsupported_domain").when(g == "refuse", "refuse:unsupported_domain").when(g == "clarify", F.concat(F.lit("clarify:scene:"), options_)))
+
+
+def _routed(df: DataFrame) -> DataFrame:
+    """Reports, templates that are good enough, missing slots within the rounds, else a query of its own."""
+    names = lambda c: F.array_join(F.slice(c, 1, 2), ",")
+    scene = F.col("left")[0]["scene_id"]
+    asked = F.when(F.size("missing") > 0, F.when(slots.clarify_step(F.size("missing"), F.col("round"), F.lit(2)) == "exhausted", "refuse:rounds_exhausted").otherwise(F.concat(F.lit("clarify:"), names("missing"))))
+    by_template = F.when(F.col("template_score") >= 0.8, F.coalesce(asked, F.concat(F.lit("route_template:"), "template_id")))
+    return df.withColumn("_d", F.coalesce(F.when(F.col("flow") == "report", F.concat(F.lit("route_report:"), scene)), by_template, asked, F.concat(F.lit("route_nl2sql:"), scene)))
+
+
+_TEMPLATE_BEST = """tb AS (SELECT scene_id, template_id, priority / 100.0e0 AS template_score FROM (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY priority DESC, template_id) AS rn FROM tpl) WHERE rn = 1)"""
+_LACK = "list_filter(required, lambda s: " + " AND ".join(f"NOT (s = '{slot}' AND e_{entity})" for slot, entity in _FILLED_BY.items()) + ")"
+
+
+def _any_of(c: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
+
+
+@register(f"""{_SCORED}, {_TEMPLATES}, {_TEMPLATE_BEST},
+  e AS (SELECT id, {_WORDS} IS NOT NULL AS e_time_range, ({_case_sql('low', extract.METRICS)}) IS NOT NULL AS e_metric, ({_case_sql('text', extract.SCOPES)}) IS NOT NULL AS e_object_scope, {_IP} IS NOT NULL AS e_device_ip, ({_case_sql('text', extract.REGIONS)}) IS NOT NULL AS e_region_hint FROM g),
+  rk AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, scene_id) AS rn FROM s),
+  fl AS (SELECT g.id, coalesce(CASE WHEN lower(trim(context.flow_type)) IN ('query', 'report', 'analysis') THEN lower(trim(context.flow_type)) END, CASE WHEN rk.score > 0 THEN rk.flow END) AS flow FROM g LEFT JOIN rk ON g.id = rk.id AND rn = 1),
+  lf AS (SELECT s.*, row_number() OVER (PARTITION BY s.id ORDER BY score DESC, scene_id) AS rn FROM s JOIN fl ON s.id = fl.id AND s.flow = fl.flow),
+  b AS (SELECT id, max(scene_id) FILTER (rn = 1) AS scene, max(score) FILTER (rn = 1) AS a, coalesce(max(score) FILTER (rn = 2), 0) AS b, string_agg(scene_id, '|' ORDER BY rn) FILTER (rn <= 3) AS top3 FROM lf GROUP BY 1),
+  j AS (SELECT g.*, fl.flow AS flow, b.scene AS scene, b.a AS a, b.b AS b, b.top3 AS top3, tb.template_id AS template_id, tb.template_score AS template_score, e.* EXCLUDE (id), coalesce(sc.required, []) AS required, greatest(0, coalesce(TRY_CAST(context.clarify_round AS INTEGER), 0)) AS round
+    FROM g JOIN fl ON g.id = fl.id LEFT JOIN b ON g.id = b.id LEFT JOIN tb ON tb.scene_id = b.scene LEFT JOIN sc ON sc.scene_id = b.scene JOIN e ON e.id = g.id),
+  m AS (SELECT *, {_LACK} AS missing FROM j), n AS (SELECT *, CASE WHEN len(missing) > 0 THEN CASE WHEN round >= 2 THEN 'refuse:rounds_exhausted' ELSE 'clarify:' || array_to_string(missing[1:2], ',') END END AS asked FROM m)
+  SELECT id, CASE WHEN length(trim(coalesce(text, ''))) < 2 OR length(trim(coalesce(norm, ''))) < 2 THEN 'clarify:input_text' WHEN length({trim_sql('text')}) > 1000 THEN 'refuse:too_long'
+    WHEN {_any_of('norm', _BLOCK_WORDS)} THEN 'refuse:policy_blocked' WHEN {_any_of('norm', _UNKNOWN_WORDS)} THEN 'refuse:unknown_domain' WHEN {_any_of('norm', _UNSUPPORTED_WORDS)} THEN 'refuse:unsupported_domain'
+    WHEN role = '{_DENIED[0]}' AND {_any_of('norm', _DENIED[1])} THEN 'refuse:permission_denied' WHEN {_any_of('norm', _ABSENT_WORDS)} THEN 'refuse:data_unavailable'
+    WHEN flow IS NULL THEN 'refuse:unknown_domain' WHEN scene IS NULL OR a < 0.3 THEN 'refuse:unsupported_domain' WHEN context.flow_type IS NULL AND a - b < 0.08 THEN 'clarify:scene:' || top3
+    WHEN flow = 'report' THEN 'route_report:' || scene WHEN template_score >= 0.8 THEN coalesce(asked, 'route_template:' || template_id) ELSE coalesce(asked, 'route_nl2sql:' || scene) END AS decision FROM n""")
+def route_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way of every golden request over the configuration tables: guards, permissions, flow, scenes of the flow, gate,
+    template, slots and rounds; one decision each. Scenes go along as an array, templates and required slots by checked joins."""
+    r = scored_scenes(spark, sf_dir)
+    found = F.when(-F.col("s")[0]["minus"] > 0, F.col("s")[0]["flow_type"])
+    r = r.withColumn("flow", F.coalesce(routing.override_chain(_FLOWS, F.col("context.flow_type")), found))
+    r = r.withColumn("left", F.filter("s", lambda x: x["flow_type"] == F.col("flow"))).drop("s").withColumn("scene_id", F.get("left", F.lit(0))["scene_id"])
+    intents = table(spark, sf_dir, "capability_intents")
+    priority = intents.select(F.trim("template_id").alias("template_id"), F.col("capability_id").alias("scene_id"), "priority").where("template_id <> ''").groupBy("scene_id", "template_id").agg(F.max("priority").alias("priority"))
+    named = compiler.templates(intents).select("scene_id", "template_id").distinct().join(priority, ["scene_id", "template_id"])
+    best = ranking.best_per_key(named, ["scene_id"], [F.col("priority").desc(), F.col("template_id")]).select("scene_id", "template_id", (F.col("priority") / 100.0).alias("template_score"))
+    needed = scenes(spark, sf_dir).select("scene_id", "required_slots")
+    r = r.join(F.broadcast(best) if is_small(best, 10_000) else best, "scene_id", "left").join(F.broadcast(needed), "scene_id", "left")  # scenes were counted
+    entities = extract.extract_entities(F.col("text"), ZONE)
+    have = F.array_compact(F.array(*(F.when(F.map_contains_key("e", F.lit(entity)), F.lit(slot)) for slot, entity in _FILLED_BY.items())))
+    r = r.withColumn("e", entities).withColumn("missing", F.array_except(F.coalesce("required_slots", F.array().cast("array<string>")), have))
+    r = r.withColumn("round", text.round_count(F.col("context.clarify_round"), 0, 0))
+    return ranking.first_decision(r, [guard, _permitted, _in_scene, _routed]).select("id", "decision")
+
+
 # ---------------------------------------------------------------- domains
 
 _PRIORITY = {"device": 1.0, "region": 0.9, "metric": 0.8, "object_scope": 0.7}

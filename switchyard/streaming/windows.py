@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -26,14 +25,21 @@ def tumbling_metrics(events: DataFrame, time: str, by: str, value: str, size: st
 
 
 def run_available(stream: DataFrame, checkpoint: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame | None:
-    """Runs a stream over all that is available; gives its rows, or calls each(batch, number) for every batch."""
+    """Runs a stream over all that is available; gives its rows, or calls each(batch, number) for every batch.
+
+    The rows are written beside the checkpoint and read from there: appended, or, in complete mode, as the last batch has them.
+    """
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if each is not None:
         writer.foreachBatch(each).start().awaitTermination()
         return None
-    name = "t" + uuid.uuid4().hex
-    writer.format("memory").queryName(name).start().awaitTermination()
-    return stream.sparkSession.table(name)
+    spark, out = stream.sparkSession, f"{checkpoint.rstrip('/')}-rows"
+    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(out)  # a stream without rows gives none
+    if mode == "append":
+        writer.format("parquet").option("path", f"{out}/appended").start().awaitTermination()
+        return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(out)
+    writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
 
 
 def session_slots(turns: DataFrame, session: str, slots: str, minutes: int = 60) -> DataFrame:

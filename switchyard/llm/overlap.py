@@ -4,8 +4,8 @@ Texts are compared by letters and digits, without case and look-alike difference
 most a tenth of the longer text's characters must be inserted, deleted or replaced.
 
 The code of a text is the sequence of its hashed characters; its bit fingerprint sets a bit for each bigram
-on either side of a block, so that an edit flips at most 4 bits: texts within k edits that agree in a block
-lie within a Hamming radius of 4k, always. The code of a training text is cut into kmax + 1 disjoint
+on either side of a block, so that an edit flips at most 4 bits of its side: texts within k edits that agree
+in a block lie within Hamming radii of 4i on the left and 4 (k - i) on the right for some i, always. The code of a training text is cut into kmax + 1 disjoint
 blocks, kmax being the most edits any partner may need; with k <= kmax edits at least one block stays
 whole (pigeonhole) and stands in the other text at most k places away. Which blocks is free: they are
 chosen by dynamic programming over SIZES, so that they meet as few evaluation texts as can be (rare
@@ -282,6 +282,31 @@ def _sought(a: DataFrame, blocks: Broadcast, hashes_only: bool = False) -> DataF
     return a.select("rep", "form").mapInArrow(run, "block bigint" if hashes_only else _SCHEMA)
 
 
+#: Classes of characters, and words of one bit for each: word n has the bits of the classes that occur more than n times.
+_CLASSES, BAG = 64, tuple(f"g{i}" for i in range(8))
+
+
+def bag_words(codes: Codes) -> np.ndarray:
+    """For each text, the counts of its characters by class in unary, in the words BAG; an edit changes 2 bits at most."""
+    cp = codes.cp.astype(np.int64)
+    digit, letter = (cp >= 48) & (cp < 58), (cp >= 97) & (cp < 123)
+    of = np.where(digit, cp - 48, np.where(letter, cp - 87, 36 + cp % (_CLASSES - 36)))
+    counts = np.bincount(codes.owner * _CLASSES + of, minlength=len(codes.length) * _CLASSES).reshape(-1, _CLASSES)
+    bits = np.uint64(1) << np.arange(_CLASSES, dtype=np.uint64)
+    return np.stack([np.where(counts > n, bits, np.uint64(0)).sum(axis=1, dtype=np.uint64) for n in range(len(BAG))], axis=1)
+
+
+def _with_bags(classes: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, texts in _batches([pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(2)], names=["row", "form"])]):
+                part = batch.slice(int(rows[0]), len(rows))
+                words = bag_words(Codes(texts)).view(np.int64).T
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(np.ascontiguousarray(w)) for w in words)], names=["key", "rep", "form", *BAG])
+
+    return classes.select("key", "rep", "form").mapInArrow(run, "key binary, rep bigint, form string, " + ", ".join(f"{w} bigint" for w in BAG))
+
+
 _SLICE = 1 << 14
 
 
@@ -326,21 +351,27 @@ def near_classes(a: DataFrame, b: DataFrame, counters: int = COUNTERS, bits: int
     ra, rb = _sought(a, blocks).alias("a"), _indexed(b, sought).alias("b")
     k = F.floor(F.greatest("a.len", "b.len") / F.lit(TENTH))
 
-    flipped = sum((F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in WORDS), F.lit(0))
+    side = lambda words: sum((F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in words), F.lit(0))
+    longer = lambda x, y: F.abs(x - y)
+    # Each side takes as many edits as its length changes, and one for every 4 bits flipped, or part of 4.
+    left = F.greatest(longer(F.col("a.lo"), F.col("b.lo")), F.shiftright(side(WORDS[:SIDE_WORDS]) + 3, 2))
+    right = F.greatest(longer(F.col("a.len") - F.col("a.lo"), F.col("b.len") - F.col("b.lo")), F.shiftright(side(WORDS[SIDE_WORDS:]) + 3, 2))
     one_place = (F.col("a.lo") == F.col("a.hi")) & (F.col("b.lo") == F.col("b.hi"))
     close = (
         (F.col("a.block") == F.col("b.block"))
         & (F.abs(F.col("a.len") - F.col("b.len")) <= k)
         & (F.col("a.lo") - F.col("b.hi") <= k)
         & (F.col("b.lo") - F.col("a.hi") <= k)
-        & (~one_place | (flipped <= 4 * k))
+        & (~one_place | (left + right <= k))
     )
     # The rows made here are many more than the plan's estimate for them, so no side may be sent whole.
     met = ra.join(rb.hint("merge"), close).select(F.col("a.rep").alias("rep_a"), F.col("b.rep").alias("rep_b")).distinct()
-    named = lambda x, s: x.select(F.col("rep").alias(f"rep_{s}"), F.col("key").alias(f"key_{s}"), F.col("form").alias(f"form_{s}"))
+    # What meets is tested by the counts of its characters before the edit distance is taken.
+    named = lambda x, s: _with_bags(x).withColumnsRenamed({c: f"{c}_{s}" for c in ("rep", "key", "form", *BAG)})
     texts = met.join(named(a, "a"), "rep_a").join(named(b, "b"), "rep_b").where("key_a <> key_b")
     limit = F.floor(F.greatest(F.length("form_a"), F.length("form_b")) / F.lit(TENTH)).cast("int")
-    return texts.withColumn("k", limit).withColumn("edits", F.expr("levenshtein(form_a, form_b, k)")).where("edits >= 0").select("key_a", "key_b", "edits"), written
+    changed = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in BAG), F.lit(0))
+    return texts.withColumn("k", limit).where(changed <= 2 * F.col("k")).withColumn("edits", F.expr("levenshtein(form_a, form_b, k)")).where("edits >= 0").select("key_a", "key_b", "edits"), written
 
 
 def _forms(records: DataFrame) -> DataFrame:

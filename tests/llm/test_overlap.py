@@ -112,3 +112,12 @@ def test_repeats_within_a_text(spark):
     texts = {r.id: r.text for r in ed.select("id", "text").union(td).collect()}
     expected = {(x, y) for x in texts for y in texts if x[0] == "e" and y[0] == "t" and distance(texts[x], texts[y]) <= max(len(texts[x]), len(texts[y])) // 10}
     assert expected and {(r.eval_id, r.intent_id) for r in O.overlaps(ed, td).collect()} == expected
+
+
+def test_counts_change_by_two_an_edit():
+    rng = random.Random(6)
+    for n in (12, 90, 400):
+        a = "".join(rng.choice("abcdefgh12345共享") for _ in range(n))
+        for k in (0, 1, 5):
+            x, y = O.bag_words(O.Codes([a, edited(rng, a, k)]))
+            assert sum(bin(int(p) ^ int(q)).count("1") for p, q in zip(x, y)) <= 2 * k

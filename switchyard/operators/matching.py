@@ -9,6 +9,7 @@ from switchyard.functions.scoring import slot_fit, weighted_score
 from switchyard.operators.ranking import top_k
 from switchyard.operators.retrieve import lexical_scores
 from switchyard.operators.slots import with_defaults
+from switchyard.session import is_small
 
 #: Weights of the rule, the vector score and the fit of the slots.
 WEIGHTS = (0.35, 0.45, 0.20)
@@ -19,6 +20,7 @@ def scenes_of_flow(requests: DataFrame, scenes: DataFrame) -> DataFrame:
     """A row per request and scene of its flow_type (blank in a scene: query), or of any if it has none; `_d` refuses, without a scene, if none is left."""
     flow = F.coalesce(F.nullif(F.lower(F.trim("flow_type")), F.lit("")), F.lit("query"))
     there = scenes.withColumn("_flow", flow).drop("flow_type", "enabled", "version", "created_at", "deleted_at")
+    there = F.broadcast(there) if is_small(scenes) else there
     r = requests.withColumn("_asked", F.nullif(F.lower(F.trim("flow_type")), F.lit("")))
     given = r.where("_asked is not null").join(there, F.col("_asked") == F.col("_flow"), "left")
     anything = r.where("_asked is null").join(there, F.lit(True), "left")

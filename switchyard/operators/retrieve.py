@@ -228,6 +228,8 @@ def lexical(queries: DataFrame, items: DataFrame, k: int, query_id: str, norm: s
     keep = [same] if same else []
     asked = queries.select(F.col(query_id).alias("q"), F.col(norm).alias("_norm"), *keep)
     there = items.select(F.col(item_id).alias("i"), F.col(keywords).alias("_keywords"), F.col(examples).alias("_examples"), *keep)
+    # Items of this retriever are scenes or templates; where they are few, as counted, they go to the queries.
+    there = F.broadcast(there) if is_small(items) else there
     scored = lexical_scores(asked.join(there, same) if same else asked.crossJoin(there), "_norm", "_keywords", "_examples")
     best = top_k(scored, ["q"], [F.col("score").desc(), F.col("i")], k)
     return best.select(F.col("q").alias(query_id), F.col("i").alias(item_id), "score", "rank")

@@ -20,20 +20,22 @@ def normalized_rows(rows: DataFrame, order: str) -> DataFrame:
     characters. `slots` (a JSON text, struct or map) goes before `slots_json`; tags are an array or one text.
     """
     kinds = dict(rows.dtypes)
-    field = lambda c: uni_trim(F.col(c).cast("string")) if c in kinds else F.lit(None).cast("string")
-    with_default = lambda c, value: F.coalesce(field(c), F.lit(value))
-    t = {c: F.coalesce(field(c), F.lit("")) for c in REQUIRED}
+    trimmed = lambda c: uni_trim(F.col(c).cast("string")) if c in kinds else F.lit(None).cast("string")
+    texts = {c: trimmed(c) for c in (*REQUIRED, *DEFAULTS, "enabled", "priority", "slots_json")}
+    texts["slots"] = F.to_json(F.col("slots")) if kinds.get("slots", "string") != "string" else trimmed("slots")
+    texts["tags"] = clean_list(F.col("tags")) if kinds.get("tags", "").startswith("array") else split_tags(trimmed("tags"))
+    # Trimmed once: a filter on the result would else be pushed down with a copy of every expression in it.
+    t = rows.select(F.col(order), F.explode(F.array(F.struct(*(c.alias(name) for name, c in texts.items())))).alias("t")).select(F.col(order), "t.*")
+    with_default = lambda c, value: F.coalesce(F.col(c), F.lit(value))
     reason = F.lit(None).cast("string")
     for c in reversed(REQUIRED):
-        reason = F.when(t[c] == "", f"missing_{c}").otherwise(reason)
+        reason = F.when(with_default(c, "") == "", f"missing_{c}").otherwise(reason)
     enabled, priority = bool_word(with_default("enabled", "true")), with_default("priority", "100").try_cast("int")
-    own = F.to_json(F.col("slots")) if kinds.get("slots", "string") != "string" else field("slots")
-    given = F.coalesce(F.nullif(own, F.lit("")), F.nullif(field("slots_json"), F.lit("")))
+    given = F.coalesce(F.nullif(F.col("slots"), F.lit("")), F.nullif(F.col("slots_json"), F.lit("")))
     slots = F.when(given.isNotNull(), repaired_json(given)).otherwise("{}")
-    tags = clean_list(F.col("tags")) if kinds.get("tags", "").startswith("array") else split_tags(field("tags"))
-    reason = F.coalesce(reason, F.when(F.length(t["text"]) < 2, "short_text"), F.when(enabled.isNull(), "bad_enabled"), F.when(priority.isNull(), "bad_priority"))
-    typed = rows.select(
-        F.col(order), *(t[c].alias(c) for c in REQUIRED), slots.alias("slots_json"), tags.alias("tags"), enabled.alias("enabled"), priority.alias("priority"), reason.alias("reason"),
+    reason = F.coalesce(reason, F.when(F.length("text") < 2, "short_text"), F.when(enabled.isNull(), "bad_enabled"), F.when(priority.isNull(), "bad_priority"))
+    typed = t.select(
+        F.col(order), *(with_default(c, "").alias(c) for c in REQUIRED), slots.alias("slots_json"), "tags", enabled.alias("enabled"), priority.alias("priority"), reason.alias("reason"),
         *(with_default(c, value).alias(c) for c, value in DEFAULTS.items()),
     )
     return typed.withColumn("reason", F.coalesce("reason", F.when(F.col("slots_json").isNull(), "bad_slots")))

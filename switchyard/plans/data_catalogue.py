@@ -12,7 +12,7 @@ from switchyard.operators import evaluate, ranking, retrieve, seeds, slots
 from switchyard.plans import compiler
 from switchyard.plans.registry import Register
 from switchyard.plans.text_catalogue import _GAPS, _GUARD, _POLICY, _ROUTED, GOLDEN, guard, norm_sql, policy, routed, scope_gaps, tokens_sql
-from switchyard.session import is_small, shared_folder, spread, table
+from switchyard.session import is_small, materialize, shared_folder, spread, table
 from switchyard.streaming import windows
 
 register = Register()
@@ -248,7 +248,7 @@ def seed_dedup_keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT coalesce(b.case_id, a.case_id) AS case_id, coalesce(b.row_id, a.row_id) AS row_id, CASE WHEN b.row_id IS NULL THEN 'kept' WHEN a.row_id IS NULL THEN 'added' ELSE 'replaced' END AS origin FROM a FULL JOIN b USING (case_id)""")
 def seed_upsert_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Version v2 rows written over those of v1, one per case."""
-    ok = _seed_rows(spark, sf_dir).where("reason is null").select("case_id", "row_id", "version")
+    ok = materialize(_seed_rows(spark, sf_dir).where("reason is null").select("case_id", "row_id", "version"))  # read by both sides
     one = lambda v: seeds.one_per_key(ok.where(F.col("version") == v).drop("version"), "case_id", "row_id").select("case_id", "row_id")
     return seeds.upsert(one("v1"), one("v2"), "case_id")
 
@@ -259,7 +259,7 @@ def seed_upsert_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
   UNION ALL SELECT 'upsert', case_id, row_id, row_number() OVER (ORDER BY case_id) FROM (SELECT coalesce(b.case_id, a.case_id) AS case_id, coalesce(b.row_id, a.row_id) AS row_id FROM a FULL JOIN b USING (case_id))""")
 def seed_merge_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both modes of merging, with the place of each row in the order of its id."""
-    ok = _seed_rows(spark, sf_dir).where("reason is null").select("case_id", "row_id", "version")
+    ok = materialize(_seed_rows(spark, sf_dir).where("reason is null").select("case_id", "row_id", "version"))  # read by both sides
     one = lambda v: seeds.one_per_key(ok.where(F.col("version") == v).drop("version"), "case_id", "row_id").select("case_id", "row_id")
     placed = [ranking.with_places(seeds.merged(one("v1"), one("v2"), "case_id", m), "case_id").select(F.lit(m).alias("mode"), "case_id", "row_id", "place") for m in ("replace", "upsert")]
     return placed[0].unionByName(placed[1])

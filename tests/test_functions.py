@@ -193,3 +193,12 @@ def test_no_temporary_folder_on_a_cluster(monkeypatch):
         shared_folder(fake, "x")
     conf["spark.checkpoint.dir"] = "/shared"
     assert shared_folder(fake, "x") == "/shared"
+
+
+def test_spread_keeps_the_rows(spark):
+    from switchyard.session import spread
+
+    one = spark.range(100).coalesce(1)
+    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and sorted(r.id for r in spread(one).collect()) == list(range(100))
+    many = spark.range(100).repartition(64)
+    assert spread(many) is many

@@ -106,3 +106,13 @@ def test_dictionary_by_value_spreads_hot_values(spark, monkeypatch):
     monkeypatch.setattr(rawload, "_may_be_sent", lambda d: False)
     assert sent and sorted(map(tuple, rawload.rejected(df, "line_id", "raw_line").collect())) == sent
     assert rawload.loaded(df, "line_id", "raw_line").count() == 600 - len(sent)
+
+
+def test_large_values_are_not_sent(spark, monkeypatch):
+    """Few invalid values of many bytes go beyond the bound in bytes; the rows are the same."""
+    rows = [(i, line(["x" * 300 + str(i % 3), *GOOD[1:]]) if i % 2 else line(GOOD)) for i in range(30)]
+    df = spark.createDataFrame(rows, "k bigint, raw string")
+    sent = sorted(map(tuple, rawload.rejected(df, "k", "raw").collect()))
+    assert len(sent) == 15
+    monkeypatch.setattr(rawload, "BROADCAST_BYTES", 100)
+    assert sorted(map(tuple, rawload.rejected(df, "k", "raw").collect())) == sent

@@ -346,6 +346,10 @@ def near_classes(a: DataFrame, b: DataFrame, counters: int = COUNTERS, bits: int
     a = a.where(F.length("form") >= TENTH - 1)
     b = written = materialize(with_blocks(b, context.broadcast(_counted(a, counters))))
     b = b.where(F.length("form") >= TENTH - 1)
+    # About a bit set in 64; a small corpus needs no large map.
+    n = b.count()
+    while bits > 1 << 18 and bits > 512 * n:
+        bits //= 2
     blocks = context.broadcast(_bitmap(_block_hashes(b), bits))
     sought = context.broadcast(_bitmap(_sought(a, blocks, True), bits))
     ra, rb = _sought(a, blocks).alias("a"), _indexed(b, sought).alias("b")

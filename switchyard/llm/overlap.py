@@ -170,11 +170,19 @@ def chosen_blocks(codes: Codes, counts: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _marked(h: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
-    bit = h & np.uint64(8 * len(bitmap) - 1)
+def _bit_set(bit: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
     return (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
+def _marked(h: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """Whether both bits of a hash are set: that of its low half, and, looked at where it is, that of its high half."""
+    mask = np.uint64(8 * len(bitmap) - 1)
+    out = _bit_set(h & mask, bitmap)
+    at = np.flatnonzero(out)
+    out[at] = _bit_set((h[at] >> np.uint64(32)) & mask, bitmap)
+    return out
+
+
 def met_windows(codes: Codes, bitmap: np.ndarray) -> tuple[np.ndarray, ...]:
     """Text, place, hash and size of the windows whose bit is set."""
     out = []
@@ -330,10 +338,11 @@ def _counted(texts: DataFrame, counters: int) -> bytes:
 
 
 def _bitmap(blocks: DataFrame, bits: int) -> bytes:
-    """Bits of the blocks, built by Spark in pieces of 4 KB; bits / 8 bytes in all."""
+    """Two bits for each block, built by Spark in pieces of 4 KB; bits / 8 bytes in all."""
     # Spark's buckets count from 1: bucket n holds the 32768 values from 32768 (n - 1) + 1 on.
-    at = F.col("block").bitwiseAND(F.lit(bits - 1)) + 1
-    parts = blocks.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("map")).collect()
+    halves = F.array(F.col("block"), F.shiftrightunsigned("block", 32))
+    at = F.col("half").bitwiseAND(F.lit(bits - 1)) + 1
+    parts = blocks.select(F.explode(halves).alias("half")).groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("map")).collect()
     out = bytearray(max(bits // 8, 4096))
     for r in parts:
         out[(r.part - 1) * 4096 : r.part * 4096] = r.map

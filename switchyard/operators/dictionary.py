@@ -105,7 +105,7 @@ def _automaton_pass(texts: DataFrame, some: list[str]) -> DataFrame:
 def ranked_values(matches: DataFrame, text_id: str, priorities: dict[str, float], k: int = 3) -> DataFrame:
     """Best match per slot and value, then the k best values per slot: score, domain priority, length, place."""
     value = F.coalesce(F.col("value"), F.col("entity_id"), F.col("folded"))
-    rank = F.coalesce(*(F.when(F.col("domain") == d, F.lit(p)) for d, p in priorities.items()), F.lit(0.5))
+    rank = F.coalesce(*(F.when(F.col("domain") == d, F.lit(p)) for d, p in priorities.items()), F.lit(0.5))  # one rank for all without priorities
     each = matches.withColumn("slot_value", value).withColumn("priority", rank).withColumn("size", F.col("last") - F.col("first") + 1)
     order = [F.col("score").desc(), F.col("priority").desc(), F.col("size").desc(), F.col("first"), F.col("domain"), F.col("folded")]
     best = top_k(each, [text_id, "slot", "slot_value"], order, 1, "_r").drop("_r")

@@ -112,6 +112,42 @@ def resolver_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", names(retrieve.resolve_devices(F.col("text"))).alias("device"), names(retrieve.resolve_regions(F.col("text"), _REGION_WORDS)).alias("regions"))
 
 
+_BOOSTS = {"term": 3.0, "entity_name": 1.0, "aliases": 2.0}
+_FIELD_TEXT = {"term": "term", "entity_name": "entity_name", "aliases": "nullif(array_to_string(aliases, ' '), '')"}
+
+
+def _field_sql(name: str, boost: float) -> str:
+    """BM25 of one field of the dictionary, times its boost, for the terms whose number is divisible by 100."""
+    split = lambda c: f"list_filter(string_split_regex(lower({c}), '{text.TOKEN_SPLIT}'), lambda x: x <> '')"
+    return f"""{name}_w AS (SELECT term_id, {split(_FIELD_TEXT[name])} AS w FROM ac_terms WHERE {_FIELD_TEXT[name]} IS NOT NULL), {name}_e AS (SELECT term_id, len(w) AS dl, unnest(w) AS token FROM {name}_w),
+  {name}_ix AS (SELECT term_id, token, count(*) AS tf, any_value(dl) AS dl FROM {name}_e GROUP BY 1, 2), {name}_st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM {name}_w), {name}_df AS (SELECT token, count(*) AS df FROM {name}_ix GROUP BY 1),
+  {name}_sc AS (SELECT query_id, ix.term_id, {boost}e0 * sum(ln(1 + (n - df + 0.5e0) / (df + 0.5e0)) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / avgdl))) AS score FROM q JOIN {name}_df USING (token) JOIN {name}_ix ix USING (token) CROSS JOIN {name}_st GROUP BY 1, 2)"""
+
+
+@register(f"""WITH q AS (SELECT DISTINCT term_id AS query_id, unnest(list_filter(string_split_regex(lower(term), '{text.TOKEN_SPLIT}'), lambda x: x <> '')) AS token FROM ac_terms WHERE CAST(right(term_id, 9) AS BIGINT) % 100 = 0),
+  {", ".join(_field_sql(n, b) for n, b in _BOOSTS.items())},
+  b AS (SELECT query_id, term_id, max(score) AS score FROM ({" UNION ALL ".join(f"SELECT * FROM {n}_sc" for n in _BOOSTS)}) GROUP BY 1, 2),
+  k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, term_id) AS rn FROM b)
+  SELECT query_id, term_id, round(score / max(score) OVER (PARTITION BY query_id), 4) AS score, CAST(rn AS BIGINT) AS rank FROM k WHERE rn <= 3""")
+def resolver_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities by a search over boosted fields of the dictionary, scores divided by the best; terms whose number is divisible by 100 ask."""
+    terms = table(spark, sf_dir, "ac_terms")
+    asked = terms.where(F.substring("term_id", -9, 9).cast("bigint") % 100 == 0)
+    hits = retrieve.bm25_fields(asked, terms, "term_id", "term", "term_id", _BOOSTS, 3)
+    best = ranking.max_normalise(hits, ["query_id"], "score", "s")
+    return best.select("query_id", F.col("doc_id").alias("term_id"), F.round("s", 4).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@register(f"""{_SPELL}, v AS (SELECT *, coalesce(value, entity_id, folded) AS v FROM m WHERE domain = 'device'),
+  b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, slot, v ORDER BY score DESC, (last - first + 1) DESC, first, folded) AS r1 FROM v) WHERE r1 = 1)
+  SELECT id, slot, v AS slot_value, CAST(rk AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id, slot ORDER BY score DESC, (last - first + 1) DESC, first, folded, v) AS rk FROM b) WHERE rk <= 2""")
+def prefill_single_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values out of one domain alone: by score, length, place."""
+    terms = dictionary.patterns(table(spark, sf_dir, "ac_terms")).where("domain = 'device'")
+    found = dictionary.find_terms(table(spark, sf_dir, GOLDEN).where("text is not null"), "id", "text", terms)
+    return dictionary.ranked_values(found, "id", {}, 2).select("id", "slot", "slot_value", F.col("rank").cast("bigint").alias("rank"))
+
+
 # ---------------------------------------------------------------- answers, traces, labels
 
 

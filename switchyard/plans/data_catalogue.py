@@ -366,7 +366,7 @@ def evaluate_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.stability(runs.unionByName(second).unionByName(third), "doc_id", ["decision", "scene"])
 
 
-@register(f"{_RESULTS} SELECT decision, lang, CAST(count(*) AS BIGINT) AS n, round(avg(s1), 6) AS mean_value FROM res GROUP BY GROUPING SETS ((decision), (lang), ())")
+@register(f"{_RESULTS} SELECT decision, lang, CAST(count(*) AS BIGINT) AS n, round(avg(s1), 6) AS mean_value, round(quantile_disc(s1, 0.95), 6) AS p95 FROM res GROUP BY GROUPING SETS ((decision), (lang), ())")
 def decision_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.decision_metrics(_results(spark, sf_dir), ["decision", "lang"], "top1_score")
 

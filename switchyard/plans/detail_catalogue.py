@@ -28,7 +28,7 @@ _DEFAULT_SQL = "(VALUES " + ", ".join(f"('{s}', {p}, {'NULL' if c is None else c
 
 
 @register(f"""WITH {_SC}, p AS (SELECT scene_id, unnest(required) AS slot FROM sc), own AS (SELECT capability_id AS scene_id, 'metric' AS slot, max(router_priority) / 100.0e0 AS priority FROM capabilities WHERE router_priority > 80 GROUP BY 1)
-  SELECT p.scene_id, p.slot, coalesce(own.priority, d.priority, 0.5) AS priority, coalesce(d.cost, 0.5) AS cost FROM p LEFT JOIN own ON own.scene_id = p.scene_id AND own.slot = p.slot LEFT JOIN {_DEFAULT_SQL} ON d.slot = p.slot""")
+  SELECT p.scene_id, p.slot, CAST(coalesce(own.priority, d.priority, 0.5) AS DOUBLE) AS priority, CAST(coalesce(d.cost, 0.5) AS DOUBLE) AS cost FROM p LEFT JOIN own ON own.scene_id = p.scene_id AND own.slot = p.slot LEFT JOIN {_DEFAULT_SQL} ON d.slot = p.slot""")
 def slot_policy_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Priority and cost of every required slot of every scene: the scene's own, the slot's, or those of any."""
     asked = scenes(spark, sf_dir).select("scene_id", F.explode("required_slots").alias("slot"))

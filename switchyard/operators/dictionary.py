@@ -11,15 +11,19 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from switchyard.functions.text import clamp, first_non_blank, uni_trim
 from switchyard.operators.ranking import top_k
+from switchyard.session import BROADCAST_BYTES, BROADCAST_ROWS, materialize
 
 #: Most terms of one automaton.
 MOST_TERMS = 500_000
+#: Places that are ranked at a time.
+PART_PLACES = 10_000
 TERM_FIELDS = ("term", "domain", "slot", "value", "entity_id", "entity_name")
 
 
@@ -47,19 +51,59 @@ def find_terms(texts: DataFrame, text_id: str, text: str, found: DataFrame, most
     dropped if its term asks for word boundaries, or says nothing and is ASCII itself. `most` keeps the first
     matches of a text in order of end, then longest, then place in the dictionary.
     """
-    rows = found.select("folded", "word_boundary").groupBy("folded").agg(F.coalesce(F.bool_or(~F.coalesce("word_boundary", F.lit(True))), F.lit(False)).alias("loose"))
+    full = _all_passes(texts, text_id, text, found).join(found, "folded")
+    full = full.where(~(_strict() & F.col("inside"))).drop("inside")
+    if most is not None:
+        full = top_k(full, ["text_id"], [F.col("last"), F.col("first"), F.col("ord"), F.col("folded"), F.col("domain"), F.col("slot"), F.col("value"), F.col("entity_id")], most, "_r").drop("_r")
+    return full.withColumnRenamed("text_id", text_id)
+
+
+def _strict() -> Column:
+    """Whether a term's match within a word is dropped."""
+    return F.coalesce(F.col("word_boundary"), ~F.col("folded").rlike(r"[^\x00-\x7f]"))
+
+
+def _all_passes(texts: DataFrame, text_id: str, text: str, found: DataFrame, once: bool = False) -> DataFrame:
+    rows = found.select("folded").distinct()
     n_parts = max(1, -(-rows.count() // MOST_TERMS))
     hits = None
     for part in range(n_parts):
         some = [r.folded for r in rows.where(F.pmod(F.xxhash64("folded"), F.lit(n_parts)) == part).toLocalIterator()]
-        got = _automaton_pass(texts.select(F.col(text_id).alias("text_id"), F.col(text).alias("text")), some)
+        got = _automaton_pass(texts.select(F.col(text_id).alias("text_id"), F.col(text).alias("text")), some, once)
         hits = got if hits is None else hits.unionByName(got)
-    full = hits.join(found, "folded")
-    strict = F.coalesce(F.col("word_boundary"), ~F.col("folded").rlike(r"[^\x00-\x7f]"))
-    full = full.where(~(strict & F.col("inside"))).drop("inside")
-    if most is not None:
-        full = top_k(full, ["text_id"], [F.col("last"), F.col("first"), F.col("ord"), F.col("folded"), F.col("domain"), F.col("slot"), F.col("value"), F.col("entity_id")], most, "_r").drop("_r")
-    return full.withColumnRenamed("text_id", text_id)
+    return hits
+
+
+def first_matches(texts: DataFrame, text_id: str, text: str, found: DataFrame, by: list[str], value: Column, order: list[Column], k: int) -> tuple[DataFrame, DataFrame]:
+    """Of find_terms, what can be among the k best values of a text: places (text_id, folded, terms, first, last) and terms
+    (folded, terms and the fields), to be joined by `with_terms`.
+
+    For rankings within `by` (fields of the terms) that look at `order` (of fields), the length, the first place and the value. A
+    spelling that many terms share gives a text the same order of these terms, so that only its k best values can be among those
+    of the text; and only its first place counts. That is one place of all its terms, or, if the first is within a word, this
+    for the loose terms and the first outside for the strict ones.
+    """
+    found = found.persist(StorageLevel.DISK_ONLY)
+    places = materialize(_all_passes(texts, text_id, text, found, once=True))
+    each = found.join(places.select("folded").distinct(), "folded", "left_semi").withColumn("_v", value)
+    each = each.withColumn("terms", F.explode(F.array(F.lit("all"), F.when(_strict(), "strict").otherwise("loose"))))
+    one = top_k(each, ["folded", "terms", *by, "_v"], order, 1, "_r")
+    few = materialize(top_k(one.drop("_r"), ["folded", "terms", *by], [*order, F.col("_v")], k, "_r").drop("_r", "_v", "ord", "word_boundary"))
+    found.unpersist()
+    return places.withColumnRenamed("text_id", text_id), few
+
+
+def with_terms(places: DataFrame, text_id: str, terms: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """Places with the terms of their spelling, and with what `texts` says of their text. Terms that are few, as counted, are sent, so that only places move, and these by text."""
+    # A number, as the parts must not be put together by the size of places: each gets many terms.
+    parts = max(places.sparkSession.sparkContext.defaultParallelism, -(-places.count() // PART_PLACES))
+    if texts is not None:
+        places = places.join(texts, text_id)
+    strings = [c for c, t in terms.dtypes if t == "string"]
+    n = terms.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length(F.concat_ws("", *strings))), F.lit(0)).alias("bytes")).first()
+    if n.rows <= BROADCAST_ROWS and n.bytes <= BROADCAST_BYTES:
+        return places.repartition(parts, text_id).join(F.broadcast(terms), ["folded", "terms"]).drop("terms")
+    return places.join(terms, ["folded", "terms"]).drop("terms").repartition(parts, text_id)
 
 
 #: The automaton that a worker built last, by name.
@@ -80,7 +124,22 @@ def _automaton(name: str, patterns_: list[str]):
     return _BUILT[name]
 
 
-def _automaton_pass(texts: DataFrame, some: list[str]) -> DataFrame:
+def _first_places(hits: list[tuple]) -> Iterator[tuple]:
+    """Of the hits of one text, the first of each pattern, and the first outside of words if that is another, with the terms that they count for."""
+    at: dict[str, tuple] = {}
+    free: dict[str, tuple] = {}
+    for hit in hits:  # by the end, so for one pattern by its place
+        at.setdefault(hit[1], hit)
+        if not hit[4]:
+            free.setdefault(hit[1], hit)
+    for p, hit in at.items():
+        yield *hit[:4], "loose" if hit[4] else "all"
+        if hit[4] and p in free:
+            yield *free[p][:4], "strict"
+
+
+def _automaton_pass(texts: DataFrame, some: list[str], once: bool = False) -> DataFrame:
+    """Every hit, and whether it is inside a word; with once, only first places (see first_matches)."""
     sent, name = texts.sparkSession.sparkContext.broadcast(some), uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -92,21 +151,36 @@ def _automaton_pass(texts: DataFrame, some: list[str]) -> DataFrame:
                     continue
                 # Folding character by character keeps places where lower case is longer.
                 low = t.lower() if len(t.lower()) == len(t) else "".join(c.lower() if len(c.lower()) == 1 else c for c in t)
+                hits = []
                 for end, p in machine.iter(low):
                     begin = end - len(p) + 1
                     inside = begin > 0 and _is_word(t[begin - 1]) or end + 1 < len(t) and _is_word(t[end + 1])
-                    out.append((key, p, begin + 1, end + 1, bool(inside)))
-            yield pd.DataFrame(out, columns=["text_id", "folded", "first", "last", "inside"])
+                    hits.append((key, p, begin + 1, end + 1, bool(inside)))
+                out += _first_places(hits) if once else hits
+            yield pd.DataFrame(out, columns=["text_id", "folded", "first", "last", last])
+
+    kind, last = dict(texts.dtypes)["text_id"], "terms" if once else "inside"
+    return texts.mapInPandas(run, f"text_id {kind}, folded string, first int, last int, {last} {'string' if once else 'boolean'}")
+
+
+def _value() -> Column:
+    return F.coalesce(F.col("value"), F.col("entity_id"), F.col("folded"))
+
+
+def _rank(priorities: dict[str, float]) -> Column:
+    return F.coalesce(*(F.when(F.col("domain") == d, F.lit(p)) for d, p in priorities.items()), F.lit(0.5))  # one rank for all without priorities
+
 
-    kind = dict(texts.dtypes)["text_id"]
-    return texts.mapInPandas(run, f"text_id {kind}, folded string, first int, last int, inside boolean")
+def best_values(texts: DataFrame, text_id: str, text: str, found: DataFrame, priorities: dict[str, float], k: int = 3) -> DataFrame:
+    """ranked_values of all matches, without putting together those that cannot be among the best."""
+    order = [F.col("score").desc(), _rank(priorities).desc(), F.col("domain")]
+    places, terms = first_matches(texts, text_id, text, found, ["slot"], _value(), order, k)
+    return ranked_values(with_terms(places, text_id, terms), text_id, priorities, k)
 
 
 def ranked_values(matches: DataFrame, text_id: str, priorities: dict[str, float], k: int = 3) -> DataFrame:
     """Best match per slot and value, then the k best values per slot: score, domain priority, length, place."""
-    value = F.coalesce(F.col("value"), F.col("entity_id"), F.col("folded"))
-    rank = F.coalesce(*(F.when(F.col("domain") == d, F.lit(p)) for d, p in priorities.items()), F.lit(0.5))  # one rank for all without priorities
-    each = matches.withColumn("slot_value", value).withColumn("priority", rank).withColumn("size", F.col("last") - F.col("first") + 1)
+    each = matches.withColumn("slot_value", _value()).withColumn("priority", _rank(priorities)).withColumn("size", F.col("last") - F.col("first") + 1)
     order = [F.col("score").desc(), F.col("priority").desc(), F.col("size").desc(), F.col("first"), F.col("domain"), F.col("folded")]
     best = top_k(each, [text_id, "slot", "slot_value"], order, 1, "_r").drop("_r")
     return top_k(best, [text_id, "slot"], [*order, F.col("slot_value")], k)

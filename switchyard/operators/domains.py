@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from switchyard.operators.dictionary import find_terms, penalised
+from switchyard.operators.dictionary import find_terms, first_matches, penalised, with_terms
 from switchyard.operators.ranking import commit, ordered_union, top_k
 
 _NONE = "array<string>"
@@ -58,13 +58,22 @@ def matches_by_domain(requests: DataFrame, request: str, text: str, selected: st
     return hits.join(requests.select(request, selected), request).where(F.array_contains(selected, F.col("domain"))).drop(selected)
 
 
+def best_by_domain(requests: DataFrame, request: str, text: str, selected: str, found: DataFrame, slot_domains: dict[str, list[str]], k: int, penalty: float = 0.2) -> DataFrame:
+    """Of matches_by_domain, those that can be among the first k of each slot when they are arbitrated; the others are not put together."""
+    places, terms = first_matches(requests, request, text, found, ["slot", "domain"], F.coalesce("value", "entity_id", "folded"), [_net(slot_domains, penalty).desc(), F.col("entity_id")], k)
+    return with_terms(places, request, terms, requests.select(request, selected)).where(F.array_contains(selected, F.col("domain"))).drop(selected)
+
+
+def _net(slot_domains: dict[str, list[str]], penalty: float) -> Column:
+    return F.round(penalised(F.col("score"), F.coalesce("domain", F.lit("")), _listed(F.col("slot"), slot_domains), penalty), 9)
+
+
 def arbitrated(matches: DataFrame, request: str, priorities: dict[str, float], slot_domains: dict[str, list[str]], penalty: float = 0.2) -> DataFrame:
     """The best match of each slot and value over all domains, with `value_`, `rank` within its slot: by score less the penalty
     for a domain that the slot does not list, then domain priority, length, place."""
-    allowed = _listed(F.col("slot"), slot_domains)
     each = matches.withColumns({
         "value_": F.coalesce("value", "entity_id", "folded"),
-        "net": F.round(penalised(F.col("score"), F.coalesce("domain", F.lit("")), allowed, penalty), 9),
+        "net": _net(slot_domains, penalty),
         "priority": _priority(F.col("domain"), priorities, 0.0),
         "size": F.col("last") - F.col("first") + 1,
     })

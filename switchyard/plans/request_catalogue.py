@@ -285,7 +285,8 @@ def domain_arbiter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prefill_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the dictionary fills in: sure values of slots that are not held, and candidates to choose from."""
     held = table(spark, sf_dir, GOLDEN).select("id", F.explode("expected.missing_slots").alias("slot")).distinct()
-    out = domains.prefilled(_arbitrated(spark, sf_dir), "id", held, 0.8, 0.05)
+    best = domains.best_by_domain(_chosen(spark, sf_dir), "id", "text", "picked", dictionary.patterns(table(spark, sf_dir, "ac_terms")), _SLOT_DOMAINS, 3)
+    out = domains.prefilled(domains.arbitrated(best, "id", _PRIORITY, _SLOT_DOMAINS), "id", held, 0.8, 0.05)
     return out.select("id", "slot", "value", "committed", F.array_join(F.transform("candidates", lambda c: F.concat_ws(":", c["entity_id"], c["name"])), "|").alias("candidates"))
 
 

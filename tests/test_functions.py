@@ -1,12 +1,13 @@
 import json
 import math
+import random
 from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
 from switchyard.functions import scoring, text
-from switchyard.operators import dictionary, evaluate, ranking, seeds, slots
+from switchyard.operators import dictionary, domains, evaluate, ranking, seeds, slots
 
 
 def values(spark, rows, schema, *columns):
@@ -123,6 +124,28 @@ def test_dictionary_in_parts(spark, monkeypatch):
     assert dictionary.find_terms(texts, "id", "text", dictionary.patterns(terms)).count() == 10
 
 
+def _many_terms(spark, n=1500, n_texts=60):
+    rng = random.Random(5)
+    spell = ["ab", "b a", "告警", "ba", "aab", "告b"]
+    rows = [(rng.choice(spell), rng.choice(["d1", "d2", None]), rng.choice(["s1", "s2", None]), rng.choice([None, f"v{rng.randrange(400)}"]), rng.choice([None, f"e{rng.randrange(400)}"]), "N", rng.choice([0.5, 0.7, 0.9, None]), rng.choice([None, [rng.choice(spell)]]), rng.choice([True, False, None])) for _ in range(n)]
+    terms = spark.createDataFrame(rows, "term string, domain string, slot string, value string, entity_id string, entity_name string, score double, aliases array<string>, word_boundary boolean")
+    texts = spark.createDataFrame([(i, "".join(rng.choice(["a", "b", " ", "告警", "c", "AB "]) for _ in range(rng.randrange(30)))) for i in range(n_texts)] + [(-1, None), (-2, "")], "id int, text string")
+    return dictionary.patterns(terms), texts
+
+
+def test_arbitrated_without_all_matches(spark):
+    found, texts = _many_terms(spark)
+    asked = texts.withColumn("picked", F.when(F.col("id") % 3 == 0, F.array(F.lit("d1"))).when(F.col("id") % 3 == 1, F.array(F.lit("d2"), F.lit("d1"))))
+    lists, priorities = {"s1": ["d1"], "s2": ["d2", "d3"]}, {"d1": 1.0, "d2": 0.9}
+    every = domains.matches_by_domain(asked, "id", "text", "picked", found)
+    columns = ("id", "slot", "value_", "net", "score", "rank", "domain", "entity_id", "folded", "first")
+    rows = lambda df: sorted((tuple(r) for r in df.where("rank <= 3").select(*columns).collect()), key=repr)
+    best = domains.best_by_domain(asked, "id", "text", "picked", found, lists, 3)
+    got = rows(domains.arbitrated(best, "id", priorities, lists))
+    assert got == rows(domains.arbitrated(every, "id", priorities, lists)) and len(got) > 100
+    assert best.count() < every.count() / 10
+
+
 def test_seed_policies(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "o int, k string")
     for policy, expected in (("keep_first", {("a", 1, 1), ("b", 2, 2)}), ("keep_last", {("a", 3, 1), ("b", 2, 2)})):

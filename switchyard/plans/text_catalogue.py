@@ -304,7 +304,7 @@ _RANK_SQL = "score DESC, prio DESC, (last - first + 1) DESC, first, domain NULLS
   b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, slot, slot_value ORDER BY {_RANK_SQL}) AS r1 FROM v) WHERE r1 = 1)
   SELECT id, slot, slot_value, score, CAST(rk AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id, slot ORDER BY {_RANK_SQL}, slot_value) AS rk FROM b) WHERE rk <= 3""")
 def prefill_dedup_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = dictionary.ranked_values(_matches(spark, sf_dir), "id", _PRIORITY, 3)
+    best = dictionary.best_values(table(spark, sf_dir, GOLDEN).where("text is not null"), "id", "text", dictionary.patterns(table(spark, sf_dir, "ac_terms")), _PRIORITY, 3)
     return best.select("id", "slot", "slot_value", "score", F.col("rank").cast("bigint").alias("rank"))
 
 

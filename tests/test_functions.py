@@ -133,6 +133,19 @@ def _many_terms(spark, n=1500, n_texts=60):
     return dictionary.patterns(terms), texts
 
 
+@pytest.mark.parametrize("most_sent", [200_000, 0])
+def test_best_values_without_all_matches(spark, monkeypatch, most_sent):
+    monkeypatch.setattr(dictionary, "BROADCAST_ROWS", most_sent)
+    found, texts = _many_terms(spark)
+    every, priorities = dictionary.find_terms(texts, "id", "text", found), {"d1": 1.0, "d2": 0.9}
+    columns = ("id", "slot", "slot_value", "score", "rank", "domain", "folded", "first")
+    rows = lambda df: sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
+    assert rows(dictionary.best_values(texts, "id", "text", found, priorities, 3)) == rows(dictionary.ranked_values(every, "id", priorities, 3))
+    places, terms = dictionary.first_matches(texts, "id", "text", found, ["slot"], F.coalesce("value", "entity_id", "folded"), [F.col("score").desc(), F.col("domain")], 3)
+    assert terms.count() <= 6 * 3 * 3 * 3  # spellings, kinds of terms, slots, values
+    assert dictionary.with_terms(places, "id", terms).count() < every.count() / 10
+
+
 def test_arbitrated_without_all_matches(spark):
     found, texts = _many_terms(spark)
     asked = texts.withColumn("picked", F.when(F.col("id") % 3 == 0, F.array(F.lit("d1"))).when(F.col("id") % 3 == 1, F.array(F.lit("d2"), F.lit("d1"))))
